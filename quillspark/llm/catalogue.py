@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import substring_dedup
+from quillspark.llm import simhash_dedup, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = [op4_substring_dedup]
+    found = [op4_substring_dedup, op5_simhash_dedup]
     return {f.__name__: f for f in found}
 
 
