@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import packing, quality, simhash_dedup, substring_dedup, topk
+from quillspark.llm import html_text, packing, quality, simhash_dedup, substring_dedup, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -39,7 +43,7 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_quality_classifier, op3_best_fit_packing, op4_substring_dedup, op5_simhash_dedup, op7_exact_topk]
+    found = [op1_quality_classifier, op2_html_extraction, op3_best_fit_packing, op4_substring_dedup, op5_simhash_dedup, op7_exact_topk]
     return {f.__name__: f for f in found}
 
 
