@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import html_text, packing, quality, simhash_dedup, substring_dedup, topk
+from quillspark.llm import flac, html_text, packing, quality, simhash_dedup, substring_dedup, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,12 +38,16 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.read(flac.store(table(spark, sf_dir, "documents")))
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0)
 
 
 def queries() -> dict:
-    found = [op1_quality_classifier, op2_html_extraction, op3_best_fit_packing, op4_substring_dedup, op5_simhash_dedup, op7_exact_topk]
+    found = [op1_quality_classifier, op2_html_extraction, op3_best_fit_packing, op4_substring_dedup, op5_simhash_dedup, op6_flac_media, op7_exact_topk]
     return {f.__name__: f for f in found}
 
 
