@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import flac, html_text, packing, quality, simhash_dedup, substring_dedup, topk
+from quillspark.llm import flac, html_text, packing, piece_fst, quality, simhash_dedup, substring_dedup, token_counts, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +46,16 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.by_section(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
+def op9_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_fst.digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
-    found = [op1_quality_classifier, op2_html_extraction, op3_best_fit_packing, op4_substring_dedup, op5_simhash_dedup, op6_flac_media, op7_exact_topk]
+    found = [op1_quality_classifier, op2_html_extraction, op3_best_fit_packing, op4_substring_dedup, op5_simhash_dedup, op6_flac_media, op7_exact_topk, op8_token_counts, op9_sentencepiece_fst]
     return {f.__name__: f for f in found}
 
 
