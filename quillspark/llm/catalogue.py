@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import flac, html_text, packing, piece_fst, quality, simhash_dedup, substring_dedup, token_counts, topk
+from quillspark.llm import flac, html_text, packing, piece_fst, quality, simhash_dedup, substring_dedup, token_counts, topk, warc_audit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +54,19 @@ def op9_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_fst.digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits the pages' WARC files of 1,000 ids each against a replica in which the last byte of
+    each record with ``page_id % 50 = 7`` is another."""
+    pages = table(spark, sf_dir, "pages")
+    text = warc_audit.record(F.col("url"), F.col("page_id"), F.col("html"))
+    damaged = F.when(F.col("page_id") % 50 == 7, F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit("!"))).otherwise(text)
+    file = F.floor(F.col("page_id") / 1000).cast("bigint")
+    first, second = (warc_audit.inventory(pages, file, [F.col("page_id")], t) for t in (text, damaged))
+    return warc_audit.audit(first, second)
+
+
 def queries() -> dict:
-    found = [op1_quality_classifier, op2_html_extraction, op3_best_fit_packing, op4_substring_dedup, op5_simhash_dedup, op6_flac_media, op7_exact_topk, op8_token_counts, op9_sentencepiece_fst]
+    found = [op1_quality_classifier, op2_html_extraction, op3_best_fit_packing, op4_substring_dedup, op5_simhash_dedup, op6_flac_media, op7_exact_topk, op8_token_counts, op9_sentencepiece_fst, op10_warc_fixity]
     return {f.__name__: f for f in found}
 
 
@@ -76,5 +87,24 @@ WHERE rank <= 10
 """
 
 
+WARC_SQL = r"""
+WITH records AS (
+  SELECT page_id, page_id // 1000 AS file,
+         concat('WARC/1.0', nl, 'WARC-Type: resource', nl, 'WARC-Record-ID: <urn:record:', CAST(page_id AS VARCHAR), '>', nl,
+                'WARC-Date: 2024-01-01T00:00:00Z', nl, 'WARC-Target-URI: ', coalesce(url, ''), nl, 'Content-Type: text/html', nl,
+                'Content-Length: ', CAST(strlen(coalesce(html, '')) AS VARCHAR), nl, nl, coalesce(html, ''), nl, nl) AS a
+  FROM pages, (SELECT chr(13) || chr(10) AS nl)
+), two AS (
+  SELECT *, CASE WHEN page_id % 50 = 7 THEN left(a, length(a) - 1) || '!' ELSE a END AS b FROM records
+), laid AS (
+  SELECT page_id, file, row_number() OVER w - 1 AS place, sha256(a) AS sha_a, sha256(b) AS sha_b,
+         CAST(strlen(a) AS BIGINT) AS length_a, CAST(strlen(b) AS BIGINT) AS length_b,
+         CAST(sum(strlen(a)) OVER w - strlen(a) AS BIGINT) AS offset_a, CAST(sum(strlen(b)) OVER w - strlen(b) AS BIGINT) AS offset_b
+  FROM two WINDOW w AS (PARTITION BY file ORDER BY page_id)
+)
+SELECT file, place, 'altered' AS kind, offset_a, length_a, sha_a, offset_b, length_b, sha_b FROM laid WHERE sha_a <> sha_b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": TOPK_SQL}
+    return {"op7_exact_topk": TOPK_SQL, "op10_warc_fixity": WARC_SQL}
