@@ -1 +1 @@
-
+"""Streams of evidence."""
