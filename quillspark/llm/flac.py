@@ -107,7 +107,7 @@ def _subframe(x: np.ndarray, bits: int) -> np.ndarray:
             d = np.diff(d)
     u = residual << 1 ^ residual >> 63
     guess = max(0, int(u.sum() // max(1, len(u))).bit_length() - 1)
-    size, k = min((int((u >> k).sum()) + len(u) * (k + 1), k) for k in range(max(0, guess - 1), min(14, guess + 1) + 1))
+    size, k = min((int((u >> k).sum()) + len(u) * (k + 1), k) for k in range(max(0, min(14, guess) - 1), min(14, guess + 1) + 1))
     if size + order * bits + 10 >= len(x) * bits:
         body = (x[:, None] >> np.arange(bits - 1, -1, -1) & 1).astype(np.uint8).reshape(-1)
         return np.concatenate([_bits(2, 8), body])
