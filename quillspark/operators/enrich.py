@@ -100,3 +100,56 @@ def with_retry(call: Callable[[], str], retryable: Callable[[Exception], bool],
                 raise
             sleep(min(most, 2.0**n))
     raise ValueError("tries is below 1")
+
+
+# --- open-access answers; each is a struct of fetchable, status, license, pdf_url, provider ---
+
+STATUSES = ("gold", "green", "hybrid", "bronze")  # Fixed values.
+
+
+def _answer(ok: Column, status: Column, license: Column, url: Column, provider: str) -> Column:
+    given = ok & (F.coalesce(url, F.lit("")) != "")
+    return F.when(given, F.struct(status.alias("status"), F.coalesce(license, F.lit("")).alias("license"), url.alias("pdf_url"), F.lit(provider).alias("provider")))
+
+
+def _at(payload: Column, path: str) -> Column:
+    return F.nullif(F.trim(F.get_json_object(payload, path)), F.lit(""))
+
+
+def unpaywall(payload: Column) -> Column:
+    return _answer(_at(payload, "$.is_oa") == "true", F.coalesce(_at(payload, "$.oa_status"), F.lit("green")), _at(payload, "$.best_oa_location.license"), F.coalesce(_at(payload, "$.best_oa_location.url_for_pdf"), _at(payload, "$.best_oa_location.url")), "unpaywall")
+
+
+def openalex_access(payload: Column, title: Column | None = None) -> Column:
+    """With ``title``, the payload came from a search and must pass the title guard."""
+    ok = _at(payload, "$.open_access.is_oa") == "true"
+    ok = ok if title is None else ok & title_guard(title, _at(payload, "$.title"))
+    return _answer(ok, F.coalesce(_at(payload, "$.open_access.oa_status"), F.lit("green")), _at(payload, "$.best_oa_location.license"), F.coalesce(_at(payload, "$.best_oa_location.pdf_url"), _at(payload, "$.open_access.oa_url")), "openalex")
+
+
+def semantic_scholar_access(payload: Column, title: Column | None = None) -> Column:
+    status = F.lower(F.coalesce(_at(payload, "$.openAccessPdf.status"), F.lit("")))
+    ok = F.lit(True) if title is None else title_guard(title, _at(payload, "$.title"))
+    return _answer(ok, F.when(status.isin(*STATUSES), status).otherwise("green"), _at(payload, "$.openAccessPdf.license"), _at(payload, "$.openAccessPdf.url"), "semantic_scholar")
+
+
+def arxiv_access(feed: Column, title: Column) -> Column:
+    entry = F.regexp_extract(T._text(feed), r"(?s)<entry>(.*?)</entry>", 1)
+    found = T.squash(F.regexp_extract(entry, r"(?s)<title>(.*?)</title>", 1))
+    return _answer(title_guard(title, found), F.lit("green"), F.lit("arxiv"), T.arxiv_pdf(T.squash(F.regexp_extract(entry, r"(?s)<id>(.*?)</id>", 1))), "arxiv")
+
+
+def usenix_access(url: Column, page: Column) -> Column:
+    """The page's PDF that is no slide deck, else its first PDF, else the page itself."""
+    links = F.regexp_extract_all(T._text(page), F.lit(r"""href=["']([^"']*/system/files/[^"']*\.pdf)["']"""), F.lit(1))
+    papers = F.filter(links, lambda x: ~F.lower(x).contains("slide"))
+    best = F.coalesce(F.try_element_at(papers, F.lit(1)), F.try_element_at(links, F.lit(1)))
+    whole = F.when(best.startswith("/"), F.concat(F.lit("https://www.usenix.org"), best)).otherwise(best)
+    return _answer(T._text(url).contains("usenix.org"), F.lit("gold"), F.lit("usenix-open-access"), F.coalesce(whole, url), "usenix")
+
+
+def first_free(*answers: Column) -> Column:
+    """The first answer whose PDF is not on the ACM library, else the last answer."""
+    given = F.filter(F.array(*answers), lambda a: a.isNotNull())
+    free = F.filter(given, lambda a: ~a["pdf_url"].contains("dl.acm.org"))
+    return F.coalesce(F.try_element_at(free, F.lit(1)), F.try_element_at(given, F.lit(-1)))

@@ -153,3 +153,55 @@ def years(text: str) -> list[int]:
     if not found:
         raise ValueError(f"{text} is no range of years")
     return found
+
+
+SEED = "title string, authors string, venue string, year string, abstract string, doi string, paper_url string, acm_url string, pdf_url string, session string, confidence string, evidence_text string"
+
+
+def seeds_from_replies(replies: DataFrame, venue: str, year: int, reply: str = "reply") -> DataFrame:
+    """Papers of a model's JSON replies: a list, or an object with ``papers``; names as a string or
+    a list; unknown confidence is 0.80."""
+    body = T.salvage_json(reply)
+    listed = F.coalesce(F.get_json_object(body, "$.papers"), body)
+    each = replies.select(*(c for c in replies.columns if c != reply), F.posexplode(F.from_json(listed, f"array<struct<{SEED.replace(' string', ': string')}>>")).alias("ord", "p"))
+    value = lambda c: F.nullif(F.trim(F.col(f"p.{c}")), F.lit(""))
+    names = F.coalesce(F.from_json(value("authors"), "array<string>"), F.when(value("authors").isNotNull(), F.array(value("authors"))), F.array().cast("array<string>"))
+    out = each.select(
+        *(c for c in replies.columns if c != reply), "ord", value("title").alias("title"), F.filter(F.transform(names, lambda a: F.trim(a)), lambda a: a != "").alias("authors"),
+        F.coalesce(value("venue"), F.lit(venue)).alias("venue"), F.coalesce(T.year_number(F.col("p.year")), F.lit(year)).alias("year"), value("abstract").alias("abstract"), value("doi").alias("doi"),
+        F.coalesce(value("paper_url"), value("acm_url")).alias("paper_url"), value("pdf_url").alias("pdf_url"), value("session").alias("session"),
+        F.coalesce(F.col("p.confidence").try_cast("double"), F.lit(0.80)).alias("confidence"),
+    )
+    return out.where(F.col("title").isNotNull())
+
+
+def dataset_sheet(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Records of data set sheets, under either spelling of their headers."""
+    rows = csv(spark, path)
+    pick = lambda *names: T._text(column(rows, "", names))
+    keys = F.filter(F.transform(F.split(pick("bibtex citation key", "bibtex citation keys"), ","), lambda k: F.trim(k)), lambda k: k != "")
+    return rows.select(
+        "ord", pick("dataset name", "canonical name").alias("name"), keys.alias("keys"), pick("modality(ies)", "modalities").alias("modalities"), pick("osi layer (l1-l7)", "osi layers").alias("osi_layers"),
+        pick("collection environment", "environment").alias("environment"), pick("availability url").alias("availability_url"), pick("annotations on availability", "availability notes").alias("availability_notes"), F.lit(None).cast("string").alias("doi"),
+    ).where("name != ''")
+
+
+OA_SCHEMA = "runs array<struct<papers array<struct<title string, doi string, pdf_url string, fetchable boolean, oa_status string, provider string>>>>"
+
+
+def oa_links(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``title, pdf_url`` of open-access runs; the last file wins; ACM library links left out."""
+    files = spark.read.schema(OA_SCHEMA).json(path, multiLine=True, mode="PERMISSIVE").withColumn("file", F.input_file_name())
+    each = files.select("file", F.posexplode("runs").alias("r", "run")).select("file", "r", F.posexplode("run.papers").alias("n", "p"))
+    ok = (T._text("p.pdf_url") != "") & ~T._text("p.pdf_url").contains("dl.acm.org")
+    return each.where(ok).groupBy(F.col("p.title").alias("title")).agg(F.max_by("p.pdf_url", F.struct("file", "r", "n")).alias("pdf_url"))
+
+
+def scored_sheet(spark: SparkSession, path: str, venues: tuple[str, ...] = ("SIGCOMM", "IMC", "NSDI"), between: tuple[int, int] = (2022, 2024)) -> DataFrame:
+    """``title_key, title, venue, year, workshop, datasets`` of a manual sheet, the last row of a key."""
+    from quillspark.operators.records import last_wins
+
+    rows = csv(spark, path)
+    sets = F.filter(F.transform(F.split(T._text(column(rows, "", ("datasets",))), ","), lambda d: F.trim(d)), lambda d: d != "")
+    out = rows.select(T.score_title(column(rows, "title")).alias("title_key"), column(rows, "title").alias("title"), F.upper(column(rows, "venue")).alias("venue"), T.year_number(column(rows, "year")).alias("year"), (F.upper(T._text(column(rows, "", ("workshop",)))) == "Y").alias("workshop"), sets.alias("datasets"), "ord")
+    return last_wins(out.where(F.col("venue").isin(*venues) & F.col("year").between(*between)), "title_key")

@@ -27,3 +27,18 @@ def markdown(rollup: DataFrame, title: str) -> str:
         lines += ["", f"## {head}", "", "| " + " | ".join(names) + " |", "|" + " --- |" * len(names)]
         lines += ["| " + " | ".join("all" if r[n] is None else str(r[n]) for n in names) + " |" for r in rows if r["level"] == level]
     return "\n".join(lines) + "\n"
+
+
+def consolidated(canonical: DataFrame, path: str) -> None:
+    """Name, variants (where there are several), papers, reuse, attributes and merge reason."""
+    joined = lambda c: F.array_join(c, "; ")
+    canonical.select(
+        F.col("canonical_name").alias("Canonical Name"), F.when(F.size("all_names") > 1, joined("all_names")).otherwise("").alias("All Name Variants"), joined("keys").alias("Bibtex Citation Keys"),
+        F.col("reuse_count").alias("Reuse Count"), F.col("modalities").alias("Modality(ies)"), F.col("osi_layers").alias("OSI Layers"), joined("environments").alias("Collection Environment"),
+        F.col("availability_url").alias("Availability URL"), F.col("merge_reason").alias("Merge Reason"),
+    ).orderBy(F.desc("Reuse Count"), F.lower("Canonical Name")).write.mode("overwrite").csv(path, header=True, escape='"')
+
+
+def nested_runs(papers: DataFrame, path: str) -> None:
+    """One JSON object for each venue and year with its papers."""
+    papers.groupBy("venue", "year").agg(F.count("*").alias("total_papers"), F.sort_array(F.collect_list(F.struct("ord", *(c for c in papers.columns if c not in ("venue", "year", "ord"))))).alias("papers")).write.mode("overwrite").json(path)

@@ -80,3 +80,75 @@ def test_breakdown(spark):
     df = spark.createDataFrame([("v", "1", "yes", True), ("v", "1", "no", False), ("v", "2", "maybe", True)], "venue string, year string, label string, used_abstract boolean")
     got = {(r["level"], r["year"]): r for r in classify.breakdown(df, "venue", "year").collect()}
     assert (got[3, None]["total"], got[3, None]["yes_pct"], got[0, "1"]["no"]) == (3, 33.3, 1)
+
+
+PROGRAM = """<h1>Proceedings of the Conference</h1><h2>Papers Info</h2><p>Day 2</p><p>09:00 — 10:20 | NetAI</p><p>Session Chair: J C</p>
+<p>First: a title</p><p>A B (X); C D (Y)</p><p><a href="https://dl.acm.org/doi/10.1145/3718958.3750468"></a><a href="https://v.org/1"></a></p><p>Abstract: One.</p><p>Two.</p>
+<p>Second title</p><p>E F (Z); G H (Z)</p><p><a href="https://dl.acm.org/doi/10.1145/3718958.3750472"></a></p><p>Abstract: Three.</p>"""
+
+
+def test_program_pages(spark):
+    from quillspark.sources import program_pages
+
+    got = program_pages.read(spark.createDataFrame([(1, None, PROGRAM), (2, None, "<p>none</p>")], "page_id bigint, url string, html string")).orderBy("ord").collect()
+    assert [(r.title, r.session, r.doi, r.abstract) for r in got] == [("First: a title", "NetAI", "10.1145/3718958.3750468", "One. Two."), ("Second title", "NetAI", "10.1145/3718958.3750472", "Three.")]
+
+
+def test_paged_index(spark):
+    from quillspark.sources import index_api
+
+    def fetch(url):
+        offset = int(url.split("&f=")[1].split("&")[0])
+        hits = [{"info": {"type": "Conference", "title": f"Paper {k}.", "authors": {"author": {"text": "A B 0001"}}, "ee": f"https://doi.org/10.1145/{k}"}} for k in range(offset, min(150, offset + 100))]
+        return {"result": {"hits": {"@total": "150", "hit": hits}}}
+
+    got = index_api.read(spark, "imc", 2024, fetch, 0.0)
+    assert got.count() == 150 and got.where("doi = '10.1145/149'").first()["authors"] == ["A B"]
+
+
+def test_replies(spark):
+    df = spark.createDataFrame([('```json\n{"papers": [{"title": "T", "authors": ["A", " "], "confidence": "x"}, {"title": " "}]}\n```',), ('[{"title": "U", "authors": "B", "year": "2020"}]',), ("prose",)], "reply string")
+    got = sorted((r.title, r.authors, r.year, r.confidence) for r in readers.seeds_from_replies(df, "IMC", 2024).collect())
+    assert got == [("T", ["A"], 2024, 0.8), ("U", ["B"], 2020, 0.8)]
+
+
+def test_evaluation(spark):
+    from quillspark.plans.evaluate import evaluate
+
+    kind = "ord bigint, title string, doi string, venue string, year string"
+    classified = spark.createDataFrame([(1, "Alpha paper", "10.1/a", "IMC", "2024.0", "yes"), (2, "Beta paper", "", "IMC", "2024", "no"), (3, "Other thing", "", "IMC", "2024", "yes"), (4, "X", "", "NSDI", "2024", "yes")], kind + ", label string")
+    gold = spark.createDataFrame([(11, "Renamed", "https://doi.org/10.1/A", "imc", "2024"), (12, "Beta paper", "", "IMC", "2024"), (13, "Workshop", "", "IMC", "2024"), (14, "Z", "", "IMC", "2023")], kind)
+    report = evaluate(classified, gold, min_gold=1)
+    row = report.instances.first()
+    assert (row.tp, row.fp, row.fn, row.fn_missed, row.fn_missing_from_universe) == (1, 1, 2, 1, 1)
+    assert report.under_curated.first()["venue"] == "NSDI" and [tuple(r)[1:] for r in report.ignored_gold.collect()] == [("2023", 1)]
+    assert sorted((r.kind, r.title) for r in report.mismatches.where("_v = 'imc'").collect()) == [("classifier_miss", "Beta paper"), ("false_positive", "Other thing"), ("missing_from_universe", "Workshop")]
+    scoped = evaluate(classified, gold, drop_workshops=True, min_gold=1).rollup.where("level = 3").first()
+    assert scoped.recall == 0.5
+    with pytest.raises(ValueError):
+        evaluate(classified.withColumn("label", F.lit(None).cast("string")), gold, drop_workshops=True)
+
+
+def test_sheets_for_reconciling(spark, tmp_path):
+    (tmp_path / "d.csv").write_text('Dataset Name,Bibtex Citation Key,Modality(ies)\nD,"a, b",m\n,c,\n')
+    assert [(r.name, r.keys, r.modalities) for r in readers.dataset_sheet(spark, str(tmp_path / "d.csv")).collect()] == [("D", ["a", "b"], "m")]
+    (tmp_path / "m.csv").write_text("Conference,Year,Workshop,Paper Title,Datasets\nimc,2023,Y,A-b!,x\nIMC,2023,,Ab,\"y, z\"\nCHI,2023,,Q,\n")
+    assert [(r.title_key, r.workshop, r.datasets) for r in readers.scored_sheet(spark, str(tmp_path / "m.csv")).collect()] == [("ab", False, ["y", "z"])]
+    (tmp_path / "o.json").write_text(json.dumps({"runs": [{"papers": [{"title": "T", "pdf_url": "http://x"}, {"title": "U", "pdf_url": "https://dl.acm.org/1"}]}]}))
+    assert [tuple(r) for r in readers.oa_links(spark, str(tmp_path / "o.json")).collect()] == [("T", "http://x")]
+
+
+def test_open_access_answers(spark):
+    from quillspark.operators import enrich
+
+    page = '<a href="/system/files/s-slides.pdf"><a href="/system/files/p.pdf">'
+    answer = enrich.first_free(
+        enrich.unpaywall(F.lit('{"is_oa": true, "best_oa_location": {"url": "https://dl.acm.org/x"}}')),
+        enrich.openalex_access(F.lit('{"title": "Other", "open_access": {"is_oa": true, "oa_url": "http://o"}}'), F.lit("Mine")),
+        enrich.usenix_access(F.lit("https://www.usenix.org/c"), F.lit(page)),
+        enrich.semantic_scholar_access(F.lit('{"openAccessPdf": {"url": "http://s", "status": "GOLD"}}')),
+    )
+    got = spark.range(1).select(answer.alias("a")).first()["a"]
+    assert (got.provider, got.pdf_url, got.status) == ("usenix", "https://www.usenix.org/system/files/p.pdf", "gold")
+    feed = "<feed><entry><id>http://arxiv.org/abs/1</id><title>My\n title</title></entry></feed>"
+    assert spark.range(1).select(enrich.arxiv_access(F.lit(feed), F.lit("my title")).alias("a")).first()["a"].pdf_url == "http://arxiv.org/pdf/1"
