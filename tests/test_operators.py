@@ -45,6 +45,14 @@ def test_cascade(spark):
     assert ("a3", None, "left_only") in off and (None, "b3", "right_only") in off
 
 
+def test_cascade_of_one_sided_groups(spark):
+    schema = "venue string, ord int, id string, title string, doi string"
+    a = spark.createDataFrame([("v", 1, "a1", "one", ""), (None, 2, "a2", None, None)], schema)
+    b = spark.createDataFrame([("w", 1, "b1", "one", ""), (None, 2, "b2", "x", "")], schema)
+    assert rows(match.cascade(a, b, ["venue"]), "venue", "left_id", "right_id", "stage") == [("v", "a1", None, "left_only"), ("w", None, "b1", "right_only"), (None, "a2", None, "left_only"), (None, None, "b2", "right_only")]
+    assert match.cascade(a.limit(0), b.limit(0), ["venue"]).collect() == []
+
+
 def test_cascade_ties_take_the_last_and_consume(spark):
     schema = "venue string, ord int, id string, title string, doi string"
     a = spark.createDataFrame([("v", 1, "a1", "abcd", ""), ("v", 2, "a2", "abcx", "")], schema)
