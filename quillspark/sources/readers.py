@@ -205,3 +205,27 @@ def scored_sheet(spark: SparkSession, path: str, venues: tuple[str, ...] = ("SIG
     sets = F.filter(F.transform(F.split(T._text(column(rows, "", ("datasets",))), ","), lambda d: F.trim(d)), lambda d: d != "")
     out = rows.select(T.score_title(column(rows, "title")).alias("title_key"), column(rows, "title").alias("title"), F.upper(column(rows, "venue")).alias("venue"), T.year_number(column(rows, "year")).alias("year"), (F.upper(T._text(column(rows, "", ("workshop",)))) == "Y").alias("workshop"), sets.alias("datasets"), "ord")
     return last_wins(out.where(F.col("venue").isin(*venues) & F.col("year").between(*between)), "title_key")
+
+
+def workbook(spark: SparkSession, path: str) -> DataFrame:
+    """The active sheet of a workbook as strings, if openpyxl is installed; read on the driver."""
+    try:
+        from openpyxl import load_workbook
+    except ImportError as e:
+        raise RuntimeError("reading workbooks needs openpyxl") from e
+    rows = [["" if v is None else str(v) for v in r] for r in load_workbook(path, read_only=True).active.iter_rows(values_only=True)]
+    return spark.createDataFrame([(*r, k) for k, r in enumerate(rows[1:])], [*rows[0], "ord"])
+
+
+def pdf_text(content: bytes, most: int = 120_000) -> str:
+    """Text of a PDF's pages, if pypdf is installed; empty for a PDF that cannot be read."""
+    import io
+
+    try:
+        from pypdf import PdfReader
+    except ImportError as e:
+        raise RuntimeError("reading PDF text needs pypdf") from e
+    try:
+        return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages)[:most]
+    except Exception:
+        return ""
