@@ -85,8 +85,13 @@ class Page:
             parts[-1].append(format(value, "x"))
 
         at, end = 0, len(source)
+        last = source.rfind(">")
         while at < end:
-            m = _TOKEN.search(source, at)
+            if at > last:  # no tag ends after this; a comment may still begin
+                m, stop = None, source.find("<!--", at)
+                end = end if stop < 0 else stop
+            else:
+                m = _TOKEN.search(source, at)
             text = source[at : m.start() if m else end]
             if text:
                 buffer.append(references.unescape(text) if "&" in text else text)
