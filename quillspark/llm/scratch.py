@@ -42,14 +42,6 @@ def remove(path: str, spark: SparkSession) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table of ``save`` that nothing will read again."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = file.rsplit("/", 1)[0]
-        remove(path, spark)
-
-
 @atexit.register
 def _end() -> None:
     for spark, path in _written:
