@@ -7,7 +7,10 @@ osi_layers, environment, availability_url, availability_notes, doi``.
 from __future__ import annotations
 
 import tempfile
+from difflib import SequenceMatcher
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +38,12 @@ def url_pairs(records: DataFrame) -> DataFrame:
     return one.select("ord_a", "ord_b", "name_a", "name_b", F.lit(0.95).alias("confidence"), F.concat(F.lit("shared URL: "), "url").alias("reason"), F.lit("url_dedup").alias("method"))
 
 
+def _flagged(pairs: DataFrame) -> DataFrame:
+    best = F.round(F.greatest("name_ratio", "combined_ratio") * 0.8, 3)
+    reason = F.format_string("name=%.2f combined=%.2f", "name_ratio", "combined_ratio")
+    return pairs.select("ord_a", "ord_b", "name_a", "name_b", best.alias("confidence"), reason.alias("reason"), F.lit("similarity").alias("method"))
+
+
 def similar_pairs(records: DataFrame, name_threshold: float = 0.75, combined_threshold: float = 0.70) -> DataFrame:
     """Pairs whose names or signatures have a ratio of the threshold or more.
 
@@ -53,9 +62,7 @@ def similar_pairs(records: DataFrame, name_threshold: float = 0.75, combined_thr
     met = near("short", name_threshold).unionByName(near("whole", combined_threshold)).dropDuplicates(["ord_a", "ord_b"])
     scored = met.withColumns({"name_ratio": ratio("short_a", "short_b"), "combined_ratio": ratio("whole_a", "whole_b")})
     kept = scored.where((F.col("name_ratio") >= name_threshold) | (F.col("combined_ratio") >= combined_threshold))
-    best = F.round(F.greatest("name_ratio", "combined_ratio") * 0.8, 3)
-    reason = F.format_string("name=%.2f combined=%.2f", "name_ratio", "combined_ratio")
-    return kept.select("ord_a", "ord_b", "name_a", "name_b", best.alias("confidence"), reason.alias("reason"), F.lit("similarity").alias("method"))
+    return _flagged(kept)
 
 
 def without_known(similar: DataFrame, known: DataFrame) -> DataFrame:
@@ -65,6 +72,51 @@ def without_known(similar: DataFrame, known: DataFrame) -> DataFrame:
     return pick(left, ["low", "high"], [F.col("ord_a"), F.col("ord_b")]).drop("low", "high")
 
 
+def first_similar(records: DataFrame, known: DataFrame, name_threshold: float = 0.75, combined_threshold: float = 0.70) -> DataFrame:
+    """``without_known(similar_pairs(records), known)`` where few names stand in many records.
+
+    The records of two names are read in order up to the first pair that passes.  Pairs whose
+    characters cannot reach the threshold in any order are passed over, and equal strings are
+    compared once.
+    """
+    base = records.select("ord", "name", _keys("keys").alias("keys"), T.record_name("name").alias("short"), T.signature(F.col("name"), F.col("modalities"), F.col("osi_layers")).alias("whole"))
+    names = base.select("name").distinct()
+    ends = names.select(F.col("name").alias("low")).crossJoin(names.select(F.col("name").alias("high"))).where("low <= high")
+    seen = known.select(F.least("name_a", "name_b").alias("low"), F.greatest("name_a", "name_b").alias("high"))
+    ends = ends.join(seen, ["low", "high"], "left_anti").withColumn("name", F.explode(F.array_distinct(F.array("low", "high"))))
+
+    def first(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ord", kind="stable")
+        ords, name, short, whole = (rows[c].tolist() for c in ("ord", "name", "short", "whole"))
+        code = {}
+        group, paper = np.array([code.setdefault(n, len(code)) for n in name]), np.array([code.setdefault(tuple(k), len(code)) for k in rows["keys"]])
+        count = np.zeros((len(rows), 64), np.int32)  # characters dealt into 64 places bound their matches from above
+        for i, text in enumerate(whole):
+            np.add.at(count[i], [ord(c) % 64 for c in text], 1)
+        size, ratios, out = count.sum(1), {}, []
+
+        def ratio_of(x: str, y: str) -> float:
+            if (x, y) not in ratios:
+                ratios[x, y] = SequenceMatcher(None, x, y).ratio()
+            return ratios[x, y]
+
+        for i in range(len(rows)):
+            met = i + 1 + np.flatnonzero((paper[i + 1 :] != paper[i]) & ((group[i + 1 :] != group[i]) | (key[0] == key[1])))
+            able = 2 * np.minimum(count[met], count[i]).sum(1) >= combined_threshold * (size[met] + size[i]) - 1e-9
+            for j, may in zip(met.tolist(), able.tolist()):
+                near = ratio_of(short[i], short[j])
+                if near >= name_threshold or may and ratio_of(whole[i], whole[j]) >= combined_threshold:
+                    out.append((ords[i], ords[j], name[i], name[j], near, ratio_of(whole[i], whole[j])))
+                    break
+            if out:
+                break
+        return pd.DataFrame(out, columns=["ord_a", "ord_b", "name_a", "name_b", "name_ratio", "combined_ratio"])
+
+    kind = dict(base.dtypes)["ord"]
+    found = ends.join(base, "name").groupBy("low", "high").applyInPandas(first, f"ord_a {kind}, ord_b {kind}, name_a string, name_b string, name_ratio double, combined_ratio double")
+    return _flagged(found)
+
+
 def confirmed(pairs: DataFrame, reply: Column) -> DataFrame:
     """Pairs after a model's verdict: yes 0.90, unsure 0.70, no dropped."""
     said = pairs.withColumn("_v", T.verdict(reply)).where("_v != 'no'")

@@ -283,8 +283,7 @@ def url_dedup_pairs(t):
 
 @query()
 def similarity_pairs(t):
-    names = match.pick(_linked(t), ["name"], [F.col("ord")])
-    return resolve.without_known(resolve.similar_pairs(names), resolve.url_pairs(names))
+    return resolve.first_similar(_linked(t), resolve.url_pairs(_linked(t)))
 
 
 _EDGES = rf"""{_DATASETS}, l AS (SELECT *, split_part(left(name, 6), ' ', 1) AS url FROM d), root AS (SELECT DISTINCT a.name, min(b.name) OVER (PARTITION BY a.name) AS root
