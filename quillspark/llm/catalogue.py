@@ -106,5 +106,24 @@ SELECT file, place, 'altered' AS kind, offset_a, length_a, sha_a, offset_b, leng
 """
 
 
+REPEATS_SQL = r"""
+WITH split AS (
+  SELECT doc_id, row_number() OVER () AS line, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), places AS (
+  SELECT doc_id, line, place, sha256(list_aggregate(words[place : place + 49], 'string_agg', ' ')) AS window_name
+  FROM (SELECT *, unnest(range(1, len(words) - 48)) AS place FROM split WHERE doc_id IS NOT NULL)
+), gone AS (
+  SELECT line, place FROM (SELECT *, min(doc_id) OVER (PARTITION BY window_name) AS owner FROM places) WHERE owner < doc_id
+), marked AS (
+  SELECT DISTINCT line, unnest(range(place, place + 50)) AS spot FROM gone
+), lost AS (
+  SELECT line, count(*) AS n_removed, list(spot) AS gone_at FROM marked GROUP BY line
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(list_aggregate(list_filter(words, lambda w, i: gone_at IS NULL OR NOT list_contains(gone_at, i)), 'string_agg', ' '), '')) AS kept_sha256
+FROM split LEFT JOIN lost USING (line)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": TOPK_SQL, "op10_warc_fixity": WARC_SQL}
+    return {"op4_substring_dedup": REPEATS_SQL, "op7_exact_topk": TOPK_SQL, "op10_warc_fixity": WARC_SQL}

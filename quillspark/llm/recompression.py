@@ -15,6 +15,7 @@ import numpy as np
 from quillspark.llm import words as W
 
 ROUNDS = 4
+WORD, RUN, PAIR = 0, 1, 2
 _RUN = np.uint64(0xA0761D6478BD642F)
 _PAIR = np.uint64(0xE7037ED1A0B428DB)
 _UP = np.uint64(0x8EBC6AF09C88C6E3 | 1)
@@ -24,18 +25,20 @@ _UP2 = np.uint64(0x589965CC75374CC3 | 1)
 class Round:
     """Symbols of one round in text order: name, words [low, high) that settle it, their text.
 
-    ``first`` has the first word of each text and, at its end, the number of words.
+    ``at`` is the first word of each symbol, ``first`` has the first word of each text and, at its
+    end, the number of words.  ``made`` tells which symbols the round named, and of what: a pair
+    of names, or a name and how often it is repeated.
     """
 
-    __slots__ = ("name", "low", "high", "text", "first")
+    __slots__ = ("name", "low", "high", "text", "first", "at", "made")
 
-    def __init__(self, name, low, high, text, first):
-        self.name, self.low, self.high, self.text, self.first = name, low, high, text, first
+    def __init__(self, name, low, high, text, first, at, made=None):
+        self.name, self.low, self.high, self.text, self.first, self.at, self.made = name, low, high, text, first, at, made
 
 
 def first_round(name: np.ndarray, first: np.ndarray) -> Round:
     at = np.arange(len(name), dtype=np.int64)
-    return Round(name, at, at + 1, np.repeat(np.arange(len(first) - 1), np.diff(first)), first)
+    return Round(name, at, at + 1, np.repeat(np.arange(len(first) - 1), np.diff(first)), first, at)
 
 
 def _neighbours(r: Round) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +63,8 @@ def runs(r: Round) -> Round:
     name = r.name[first].copy()
     long = many > 1
     name[long] = W.mix(name[long] * _UP + many[long].astype(np.uint64) * _RUN)
-    return Round(name, left[first], right[last], r.text[first], r.first)
+    where = np.flatnonzero(long)
+    return Round(name, left[first], right[last], r.text[first], r.first, r.at[first], (where, RUN, r.name[first][where], many[where].astype(np.uint64)))
 
 
 def pairs(r: Round, number: int) -> Round:
@@ -79,7 +83,18 @@ def pairs(r: Round, number: int) -> Round:
     low[at] = r.low[at]
     high[at] = r.high[at + 1]
     keep = ~closes
-    return Round(name[keep], low[keep], high[keep], r.text[keep], r.first)
+    where = np.flatnonzero(opens[keep])
+    return Round(name[keep], low[keep], high[keep], r.text[keep], r.first, r.at[keep], (where, PAIR, r.name[at], r.name[at + 1]))
+
+
+def named_rounds(name: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> list[tuple[Round, Round]]:
+    """Each round's symbols after its runs and after its pairs are named."""
+    r, out = first_round(name, first), []
+    for k in range(rounds):
+        one = runs(r)
+        r = pairs(one, k)
+        out.append((one, r))
+    return out
 
 
 def prefix_sums(name: np.ndarray, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -134,10 +149,7 @@ def anchors(name: np.ndarray, first: np.ndarray, window: int, rounds: int = ROUN
     if not todo.any():
         return key
     sums = prefix_sums(name, _UP2)
-    r, levels = first_round(name, first), []
-    for k in range(rounds):
-        r = pairs(runs(r), k)
-        levels.append(r)
+    levels = [pair for _, pair in named_rounds(name, first, rounds)]
     starts = np.flatnonzero(todo)
     for k in range(rounds - 1, -1, -1):
         r = levels[k]
@@ -154,3 +166,51 @@ def anchors(name: np.ndarray, first: np.ndarray, window: int, rounds: int = ROUN
             return key
     key[starts] = span_hash(sums, starts, starts + window) | np.uint64(1)
     return key
+
+
+def _gather(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the values, passage) of each symbol, from ranges ``passage, order, start, end``."""
+    owner, order, start, end = (np.concatenate(x) for x in zip(*parts))
+    has = end > start
+    owner, order, start, end = owner[has], order[has], start[has], end[has]
+    turn = np.lexsort((order, owner))
+    owner, start, size = owner[turn], start[turn], (end - start)[turn]
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum())) - np.repeat(before - start, size), np.repeat(owner, size)
+
+
+def spell(name: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray, rounds: list[tuple[Round, Round]]) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, passage of each): the passages of words [start, end) written with few symbols.
+
+    A passage is the settled symbols of its highest round that has any, and on both sides, round
+    by round down to the words, those that reach further.  Only words of the passage bear on the
+    choice, so equal passages have equal symbols wherever they stand; if no name has two meanings,
+    passages with equal symbols have equal words.
+    """
+    levels = [first_round(name, first), *(pair for _, pair in rounds)]
+    offset = np.cumsum([0] + [len(r.name) for r in levels])
+    passage, parts = np.arange(len(start)), []
+    low, high = np.full(len(start), -1, np.int64), np.full(len(start), -1, np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        r = levels[k]
+        a, b = np.searchsorted(r.low, start, "left"), np.searchsorted(r.high, end, "right")
+        has, begun = b > a, low >= 0
+        new, more = has & ~begun, has & begun
+        left, right = np.searchsorted(r.at, low), np.searchsorted(r.at, high)
+        for own, order, x, y in ((new, 0, a, b), (more, k - len(levels), a, left), (more, len(levels) - k, right, b)):
+            if own.any():
+                parts.append((passage[own], np.full(int(own.sum()), order), x[own] + offset[k], y[own] + offset[k]))
+        after = np.append(r.at, len(name))
+        low[has], high[has] = r.at[a[has]], after[b[has]]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    place, owner = _gather(parts)
+    return np.concatenate([r.name for r in levels])[place], owner
+
+
+def within(low: np.ndarray, high: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of the ranges [low, high) lie inside one of the passages [start, end)."""
+    turn = np.argsort(start, kind="stable")
+    furthest = np.maximum.accumulate(end[turn])
+    k = np.searchsorted(start[turn], low, "right") - 1
+    return (k >= 0) & (furthest[np.maximum(k, 0)] >= high)

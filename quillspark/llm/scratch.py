@@ -1,7 +1,8 @@
 """Tables that cut lineage, written to the folder that all executors share.
 
-The folder is ``spark.checkpoint.dir`` of the session.  Only where that is unset (tests, a
-laptop) a folder of this process is used instead.  Tables are removed when Python ends.
+The folder is ``spark.checkpoint.dir`` of the session.  Only where that is unset on a local
+master (tests, a laptop) a folder of this process is used instead; on a cluster it must be set.
+Tables are removed when Python ends, or by ``drop`` once they are superseded.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ def base(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="quillspark-"))
     return f"file://{_own[0]}"
@@ -36,6 +39,24 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Removes the table that ``save`` returned as ``df``, which nothing will read again."""
+    for spark, path in [x for x in _written if any(f.startswith(x[1].removeprefix("file://")) or x[1] in f for f in df.inputFiles()[:1])]:
+        remove(path, spark)
+        _written.remove((spark, path))
+
+
 def remove(path: str, spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
