@@ -78,10 +78,12 @@ def names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0)
     """
     size = ends - starts
     salt = np.uint64(seed * 0x2545F4914F6CDD1D & (1 << 64) - 1)
-    name = mix(size.astype(np.uint64) * _LANE + salt)
+    name = size.astype(np.uint64) * _LANE + salt
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    live, at = np.flatnonzero(size <= LONG), 0
+    if len(starts):  # words over LONG bytes are named below
+        name = mix((name ^ lanes[starts] & _MASKS[np.minimum(size, 8)]) * _LANE + salt)
+    live, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
     while len(live):
         lane = lanes[starts[live] + at] & _MASKS[np.minimum(size[live] - at, 8)]
         name[live] = mix((name[live] ^ lane) * _LANE + salt)
