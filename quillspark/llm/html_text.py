@@ -1,12 +1,17 @@
-"""Main text of HTML pages: subtrees that a site repeats go, then what markup says is no article.
+"""Main text of HTML pages: places whose subtrees a site repeats go, then what markup says is no article.
 
-1. Each page is parsed and its element subtrees are hashed (tags and texts below them).
-2. Spark counts, for each host, the subtrees that stand on pages with different main texts;
-   copies of one article thus count once.  Those on ``MIN_PAGES`` such pages or more are template.
-3. Each page is parsed again; template subtrees go, as do elements that are no part of an article
-   by their tag, role or class (menus, page headers, footers, sidebars, notices, adverts, forms,
-   scripts, styles, reader comments).  Where a page marks its article, text outside it goes too,
-   and paragraphs, headings, lists and tables inside it never count as template.
+1. Each page is parsed and all its element subtrees are hashed (tags and texts below them), beside
+   their place (the tags, classes and ids on the way to them).
+2. Spark counts, for each host, the pages that each subtree stands on; pages count once for each
+   different main text, so copies of one article are one page.  A subtree on ``MIN_PAGES`` or more
+   recurs.  Where half of the subtrees at a place recur (``SOME``), those that do are template;
+   where nearly all do (``ALL``), the whole place is.
+3. Template goes.  So a paragraph that some articles share stays, as most paragraphs at its place do
+   not recur, and a menu that differs on a few pages goes with the rest.
+4. What counts cannot tell (hosts with few pages, and elements whose texts differ on each page) is
+   told by tag, role and class: menus, page headers, footers, sidebars, notices, adverts, forms,
+   scripts, styles, reader comments.  Where a page marks its article, text outside it goes too, and
+   paragraphs, headings, lists and tables inside it are never template.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed
 and joined by line feeds in page order.  ``<br>`` is white space.
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -28,6 +34,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import scratch
 
 MIN_PAGES = 5
+SOME, ALL = 0.5, 0.9
 
 _TOKEN = re.compile(
     r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>)""",
@@ -58,16 +65,16 @@ _ABOUT = {"has", "no", "with", "without", "layout"}  # such names say what else
 class Page:
     """Nodes in page order (parents first) and the blocks of text under them."""
 
-    __slots__ = ("tag", "parent", "gone", "hash", "main", "blocks")
+    __slots__ = ("tag", "parent", "gone", "hash", "place", "main", "blocks")
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.gone, self.hash, self.main = ["#"], [-1], [False], [0], [False]
+        self.tag, self.parent, self.gone, self.hash, self.place, self.main = ["#"], [-1], [False], [0], [0], [False]
         self.blocks: list[tuple[int, str]] = []
         self._parse(source)
 
     def _parse(self, source: str) -> None:
         stack, parts, buffer = [0], [[]], []
-        lower = None
+        lower, inner, standing = None, [False], Counter()  # inner: within a main element, for each node
 
         def flush() -> None:
             if buffer:
@@ -80,6 +87,7 @@ class Page:
         def close() -> None:
             flush()
             node, own = stack.pop(), parts.pop()
+            standing[self.tag[node]] -= 1
             value = xxhash.xxh64_intdigest("\x1f".join([self.tag[node], *own]))
             self.hash[node] = value - (1 << 64) if value >> 63 else value
             parts[-1].append(format(value, "x"))
@@ -104,14 +112,12 @@ class Page:
             tag = tag.lower()
             if ending:
                 if tag in _NODES or tag in ("span", "a", "small", "label"):
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[k]] == tag:
-                            while len(stack) > k:
-                                close()
-                            break
-                    else:
-                        if tag in _BLOCKS:
-                            flush()
+                    if standing[tag]:
+                        while self.tag[stack[-1]] != tag:
+                            close()
+                        close()
+                    elif tag in _BLOCKS:
+                        flush()
                 continue
             if tag in _RAW:
                 if lower is None:
@@ -127,8 +133,7 @@ class Page:
                 buffer.append(" ")
                 continue
             words, role, hidden = self._marks(attributes) if attributes and not attributes.isspace() else ((), "", False)
-            inner = any(self.main[n] for n in stack)
-            foreign = bool(_WORDS.intersection(words)) or role in _ROLES or hidden or not inner and (tag == "header" or bool(_OUTER.intersection(words)))
+            foreign = bool(_WORDS.intersection(words)) or role in _ROLES or hidden or not inner[stack[-1]] and (tag == "header" or bool(_OUTER.intersection(words)))
             if tag not in _NODES and not (foreign and tag in ("span", "a", "small", "label")):
                 continue
             if tag in _BLOCKS:
@@ -146,7 +151,10 @@ class Page:
             self.parent.append(stack[-1])
             self.gone.append(self.gone[stack[-1]] or tag in _GONE or foreign)
             self.hash.append(0)
+            self.place.append(xxhash.xxh64_intdigest(f"{self.place[stack[-1]]} {tag} {' '.join(words)}") >> 1)
             self.main.append(not self.gone[node] and (tag in ("article", "main") or role == "main"))
+            inner.append(inner[stack[-1]] or self.main[node])
+            standing[tag] += 1
             stack.append(node)
             parts.append([])
         flush()
@@ -185,47 +193,53 @@ class Page:
         marked = not all(inside)
         out = [self.tag[n] not in ("#", "html", "body") and not (marked and inside[n] and (self.tag[n] in _PROSE or not inside[self.parent[n]])) for n in range(len(self.tag))]
         if marked:
+            holds = inside.copy()
             for n in range(len(self.tag) - 1, 0, -1):
-                if inside[n] and not inside[self.parent[n]]:
-                    up = self.parent[n]
-                    while up > 0:
-                        out[up] = False
-                        up = self.parent[up]
+                if holds[n] and not holds[self.parent[n]]:
+                    holds[self.parent[n]], out[self.parent[n]] = True, False
         return out
 
-    def text(self, template: set[int] | frozenset[int] = frozenset()) -> str:
+    def text(self, template: set[int] | frozenset[int] = frozenset(), markup: bool = True) -> str:
+        """The blocks outside template (places, and subtrees at places); without ``markup`` counts alone tell what goes."""
         inside = self.region()
-        if template:
-            could = self.candidates(inside)
-            cut = [False] * len(self.tag)
-            for n in range(1, len(self.tag)):
-                cut[n] = cut[self.parent[n]] or could[n] and self.hash[n] in template
-        else:
-            cut = [False] * len(self.tag)
-        return "\n".join(t for n, t in self.blocks if inside[n] and not self.gone[n] and not cut[n])
+        could = self.candidates(inside)
+        cut = [False] * len(self.tag)
+        for n in range(1, len(self.tag)):
+            cut[n] = cut[self.parent[n]] or could[n] and (self.place[n] in template or self._at(n) in template)
+        return "\n".join(t for n, t in self.blocks if not cut[n] and (not markup or inside[n] and not self.gone[n]))
 
-    def subtrees(self) -> list[int]:
+    def subtrees(self) -> list[tuple[int, int]]:
+        """(place, hash) of all subtrees that can be template."""
         could = self.candidates(self.region())
-        return sorted({h for h, c in zip(self.hash, could) if c})
+        return sorted({(self.place[n], self._at(n)) for n in range(len(self.tag)) if could[n]})
+
+    def _at(self, n: int) -> int:
+        """The name of a subtree at its place."""
+        return (self.place[n] * 0x9E3779B97F4A7C15 ^ self.hash[n]) & (1 << 63) - 1
 
 
 def _subtrees(batches):
     for batch in batches:
-        hashes, texts = [], []
+        places, hashes, texts = [], [], []
         for source in batch.column("html").to_pylist():
             page = Page(source)
-            hashes.append(page.subtrees())
+            found = page.subtrees()
+            places.append([p for p, _ in found])
+            hashes.append([h for _, h in found])
             texts.append(xxhash.xxh64_intdigest(page.text()) >> 1)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in ("page_id", "own", "host")] + [pa.array(texts, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
-            ["page_id", "own", "host", "main", "hashes"],
+            [batch.column(c) for c in ("page_id", "own", "host")] + [pa.array(texts, pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))],
+            ["page_id", "own", "host", "main", "places", "hashes"],
         )
 
 
-def _texts(batches):
-    for batch in batches:
-        found = [Page(source).text(frozenset(cut or ())) for source, cut in zip(batch.column("html").to_pylist(), batch.column("cut").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string())], ["page_id", "url", "text"])
+def _texts(markup: bool):
+    def run(batches):
+        for batch in batches:
+            found = [Page(source).text(frozenset(cut or ()), markup) for source, cut in zip(batch.column("html").to_pylist(), batch.column("cut").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string())], ["page_id", "url", "text"])
+
+    return run
 
 
 def host(url):
@@ -233,19 +247,34 @@ def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^:/?#]*)", 1))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``page_id, url, text, n_chars`` for each row of ``pages``."""
+def _rows(pages: DataFrame) -> DataFrame:
     source = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), source.alias("html"), F.xxhash64(source).alias("own"), F.xxhash64(host(F.col("url"))).alias("host"))
-    found = rows.select("page_id", "own", "host", "html").mapInArrow(_subtrees, "page_id bigint, own bigint, host bigint, main bigint, hashes array<bigint>")
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), source.alias("html"), F.xxhash64(source).alias("own"), F.xxhash64(host(F.col("url"))).alias("host"))
+
+
+def template(subtrees: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``host, place, hash`` of template subtrees, a null ``hash`` for whole places, from rows
+    ``host, place, hash, main``; each subtree counts once for each main text."""
+    each = subtrees.select("host", "place", "hash", "main").distinct().groupBy("host", "place", "hash").agg(F.count("*").alias("n"))
+    often = F.when(F.col("n") >= min_pages, F.col("n")).otherwise(F.lit(0))
+    places = each.groupBy("host", "place").agg((F.sum(often) / F.sum("n")).alias("share")).where(F.col("share") >= SOME)
+    single = each.where(F.col("n") >= min_pages).join(places.where(F.col("share") < ALL), ["host", "place"]).select("host", "place", "hash")
+    return single.unionByName(places.where(F.col("share") >= ALL).select("host", "place", F.lit(None).cast("bigint").alias("hash")))
+
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, markup: bool = True) -> DataFrame:
+    """``page_id, url, text, n_chars`` for each row of ``pages``."""
+    rows = _rows(pages)
+    found = rows.select("page_id", "own", "host", "html").mapInArrow(_subtrees, "page_id bigint, own bigint, host bigint, main bigint, places array<bigint>, hashes array<bigint>")
     found = scratch.save(found, "subtrees")
-    each = found.select("page_id", "own", "host", "main", F.explode("hashes").alias("hash"))
-    template = each.select("host", "hash", "main").distinct().groupBy("host", "hash").count().where(F.col("count") >= min_pages).select("host", "hash")
-    template = scratch.save(template, "template")
+    each = found.select("page_id", "own", "host", "main", F.explode(F.arrays_zip("places", "hashes")).alias("at")).select("page_id", "own", "host", "main", F.col("at.places").alias("place"), F.col("at.hashes").alias("hash"))
+    found = scratch.save(template(each, min_pages), "template")
+    whole = each.join(found.where("hash is null").select("host", "place"), ["host", "place"]).withColumn("cut", F.col("place"))
+    single = each.join(found.where("hash is not null").select("host", "hash"), ["host", "hash"]).withColumn("cut", F.col("hash"))
     key = ["page_id", "own", "host"]
-    cut = each.join(template, ["host", "hash"]).groupBy(*key).agg(F.collect_set("hash").alias("cut"))
+    cut = whole.select(*key, "cut").unionByName(single.select(*key, "cut")).groupBy(*key).agg(F.collect_set("cut").alias("cut"))
     cut = cut.select(*(F.col(c).alias(f"_{c}") for c in key), "cut")
     same = [rows[c].eqNullSafe(F.col(f"_{c}")) for c in key]
     texts = rows.join(cut, same[0] & same[1] & same[2], "left").select("page_id", "url", "html", "cut")
-    texts = texts.mapInArrow(_texts, "page_id bigint, url string, text string")
+    texts = texts.mapInArrow(_texts(markup), "page_id bigint, url string, text string")
     return texts.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

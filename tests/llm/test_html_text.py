@@ -54,3 +54,41 @@ def test_empty_table_and_repeats(spark):
     kind = "page_id bigint, url string, html string"
     assert H.extract(spark.createDataFrame([], kind)).collect() == []
     assert [r.text for r in H.extract(spark.createDataFrame([(1, "http://a.org", "<p>x</p>")] * 2, kind)).collect()] == ["x", "x"]
+
+
+def test_counts_alone_tell_template_that_bears_no_mark(spark):
+    """Switching markup off leaves the same texts where a site repeats itself; switching counts off does not."""
+    page = lambda k: f'<body><div class="q7"><p>Alpha {k % 2} beta</p></div><div class="z1"><p>Own {k}</p><p>Shared passage</p><p>More {k}</p></div><div class="k3">Mail {"us" if k else "me"}</div></body>'
+    rows = spark.createDataFrame([(k, "https://a.org/", page(k)) for k in range(40)] + [(99, "https://few.org/", page(1))], "page_id bigint, url string, html string")
+    want = {k: f"Own {k}\nShared passage\nMore {k}" for k in range(40)}
+    for markup in (True, False):
+        got = {r.page_id: r.text for r in H.extract(rows, markup=markup).collect()}
+        assert got.pop(99) == "Alpha 1 beta\nOwn 1\nShared passage\nMore 1\nMail us" and got == want
+    off = {r.page_id: r.text for r in H.extract(rows, min_pages=1000).collect()}
+    assert off[3] == "Alpha 1 beta\nOwn 3\nShared passage\nMore 3\nMail us"
+
+
+def test_template_against_counting(spark):
+    import collections
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.randrange(3), rng.randrange(5), rng.randrange(12) ** 2 // 12, rng.randrange(30)) for _ in range(700)]
+    n = collections.Counter((h, p, x) for h, p, x, _ in set(rows))
+    total, often = collections.Counter(), collections.Counter()
+    for (h, p, _), c in n.items():
+        total[h, p] += c
+        often[h, p] += c if c >= 4 else 0
+    share = {k: often[k] / total[k] for k in total}
+    want = {(h, p, None) for h, p in share if share[h, p] >= 0.9} | {(h, p, x) for (h, p, x), c in n.items() if c >= 4 and 0.5 <= share[h, p] < 0.9}
+    got = H.template(spark.createDataFrame(rows, "host bigint, place bigint, hash bigint, main bigint"), 4).collect()
+    assert {(r.host, r.place, r.hash) for r in got} == want and len(want) > 5
+
+
+def test_deep_markup_takes_seconds():
+    import time
+
+    began = time.perf_counter()
+    assert H.Page("<div>" * 20_000 + "x" + "</b></p>" * 20_000).text() == "x"
+    assert H.Page("<div><main>" * 10_000 + "y").text() == "y"
+    assert time.perf_counter() - began < 5
