@@ -5,18 +5,20 @@ that brings all to one length; then the largest inner products with a query are
 vectors.  Every vector is keyed by its nearest pivot and its distance to it.  Along each pivot
 the distances are sorted and cut into blocks (annuli) of bounded size.
 
-Search runs in two passes over blocks.  First each query meets the blocks around its own place in
-its own pivot's order, which bounds its k-th distance.  Then, for each pivot, it meets only the
-blocks whose annuli come within that bound by the triangle inequality; inside a block the sorted
-distances narrow the rows once more.  Blocks meet queries in parts of bounded size.
+Search expands annuli step by step.  A step takes, along every pivot, the blocks whose distances come
+nearer to the query's own than the step's radius; after each step the k-th score so far bounds the
+distances that can still matter, and by the triangle inequality only blocks within that bound are
+left.  It stops when no query has a block left.  Inside a block the sorted distances narrow the rows
+once more.  Blocks meet queries in parts of bounded size.
 
 Pivots come from a bounded sample: the ``SAMPLE`` vectors whose ids hash lowest.  All vectors are
 indexed, and results do not depend on the sample.
 
-Results for odd input: vectors that are null, or hold a null or non-finite component, and rows
-with a null id take no part, nor do vectors whose number of components is not the commonest one;
-repeated rows count each, and ties go to the smaller id; a query that no candidate is left for
-has no rows; other columns are ignored.
+Results for odd input: vectors that are null, empty, or hold a null or non-finite component, and rows
+with a null id take no part; vectors of different lengths do not meet, and each length is searched on
+its own; components and scores beyond 64 bits become the nearest 64-bit integer; repeated rows count
+each, and ties go to the smaller id; a query that no candidate is left for has no rows; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from quillspark.llm import scratch
 
 SCALE, K = 1024, 10
 SAMPLE, PIVOTS = 2048, 24
-BLOCK, PART = 1024, 256
+BLOCK, PART = 4096, 256
+STEPS = (0.0, 0.25, 0.5, 1.0)  # radii of the annuli, as shares of the largest bound
 EXACT, FITS = 2.0**52, 2.0**62  # sums that doubles and longs hold
 SLACK = 1e-6  # relative, against rounding of distances
 
@@ -100,9 +103,25 @@ def _blocks(dim: int, block: int):
     return run
 
 
+def scores(rows: np.ndarray, queries: np.ndarray, most: float) -> np.ndarray:
+    """Exact inner products; all partial sums are at most ``most``.
+
+    64-bit sums wrap, which leaves a result that fits right; those that may not fit are summed again
+    in Python's integers.
+    """
+    if most < EXACT:
+        return rows.astype(np.float64) @ queries.astype(np.float64).T
+    found = rows @ queries.T
+    if most >= FITS:
+        for i, j in zip(*np.nonzero(np.abs(rows.astype(np.float64) @ queries.astype(np.float64).T) >= FITS)):
+            exact = sum(x * y for x, y in zip(rows[i].tolist(), queries[j].tolist()))
+            found[i, j] = min(max(exact, -(1 << 63)), (1 << 63) - 1)
+    return found
+
+
 def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best rows of each query: higher score, then smaller id."""
-    order = np.lexsort((ids, -score, query))
+    order = np.lexsort((ids, ~score, query))  # the complement: a minimum has no negative
     query = query[order]
     new = np.concatenate([[True], query[1:] != query[:-1]]) if len(query) else np.zeros(0, np.bool_)
     at = np.arange(len(query))
@@ -112,7 +131,6 @@ def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.n
 
 def _search(dim: int, k: int, most: float, slack: float):
     """Scores a part of queries against a block, within the annuli the queries still need."""
-    kind = np.float64 if most < EXACT else np.int64  # all partial sums are at most ``most``
 
     def run(batches):
         for batch in batches:
@@ -125,15 +143,16 @@ def _search(dim: int, k: int, most: float, slack: float):
                 b = np.searchsorted(ds, (d + bound).max() + slack, "right")
                 if a >= b:
                     continue
-                found = v.reshape(-1, dim)[a:b].astype(kind) @ _matrix(part.field("v"), dim).astype(kind).T
+                found = scores(v.reshape(-1, dim)[a:b], _matrix(part.field("v"), dim), most)
                 other = ids[a:b, None] != own
                 if b - a > k + 1:  # beside the query's own row
                     other &= found >= np.partition(found, b - a - k - 1, axis=0)[b - a - k - 1]
                 row, column = np.nonzero(other)
-                best = _best(own[column], ids[a:b][row], found[row, column], k)
+                value = found[row, column].astype(np.int64)
+                best = _best(own[column], ids[a:b][row], value, k)
                 query.append(own[column][best])
                 who.append(ids[a:b][row][best])
-                score.append(found[row, column][best].astype(np.int64))
+                score.append(value[best])
             columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (query, who, score)]
             best = _best(*columns, k)
             yield pa.RecordBatch.from_arrays([pa.array(c[best]) for c in columns], ["query_id", "vec_id", "score"])
@@ -156,43 +175,37 @@ def _meet(queries: DataFrame, blocks: DataFrame, near: Column, part: int) -> Dat
     return parts.join(blocks, "block").select("ids", "ds", "vs", "part")
 
 
+RESULT = "query_id bigint, vec_id bigint, score bigint"
+
+
 def search(vectors: DataFrame, id_column: str, column: str, wanted: Column, k: int = K, scale: int = SCALE, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row that ``wanted`` (a condition on ``id``)
     picks, the k other rows with the largest inner products."""
-    spark = vectors.sparkSession
-    result = "query_id bigint, vec_id bigint, score bigint"
     rows = quantised(vectors, id_column, column, scale)
-    dims = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if dims is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    dim = dims["dim"]
-    rows = rows.where(F.size("v") == dim)
     square = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
-    most = rows.agg(F.max(square).alias("m")).first()["m"]
-    if most >= FITS:
-        raise ValueError("inner products do not fit 64-bit integers")
-    slack = SLACK * (most**0.5 + 1)
-    few = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    chosen = _pivots(_lifted(np.array([r["v"] for r in few], np.int64), most), pivots)
-    kinds = "id bigint, v array<bigint>, pivot int, d double"
-    keyed = scratch.save(rows.mapInArrow(_keyed(chosen, most, dim), kinds), "keyed")
-    n = max(1, -(-dims["count"] // (8 * block)))
+    lengths = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(square).alias("most"), F.max(wanted.cast("int")).alias("asked"))
+    lengths = lengths.where("asked = 1 and n > 1").orderBy("dim").collect()  # a row for each length in use
+    found = vectors.sparkSession.createDataFrame([], RESULT)
+    for one in lengths:
+        found = found.unionByName(_search_length(rows.where(F.size("v") == one["dim"]), wanted, one["dim"], one["n"], one["most"], k, pivots, block))
+    return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _index(rows: DataFrame, chosen: np.ndarray, dim: int, n: int, most: float, k: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``pivot, d``, blocks of them sorted by pivot and distance)."""
+    keyed = scratch.save(rows.mapInArrow(_keyed(chosen, most, dim), "id bigint, v array<bigint>, pivot int, d double"), "keyed")
     # of equal vectors only the k + 1 with the smallest ids can be among any query's k best
     alike = Over.partitionBy("pivot", "d", "v").orderBy("id")
     needed = keyed.withColumn("copy", F.row_number().over(alike)).where(F.col("copy") <= k + 1).drop("copy")
-    dealt = needed.repartitionByRange(n, "pivot", "d", "id").sortWithinPartitions("pivot", "d", "id")
+    dealt = needed.repartitionByRange(max(1, -(-n // (8 * block))), "pivot", "d", "id").sortWithinPartitions("pivot", "d", "id")
     packed = dealt.mapInArrow(_blocks(dim, block), "pivot int, low double, high double, ids binary, ds binary, vs binary")
-    blocks = scratch.save(packed.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    return keyed, scratch.save(packed.withColumn("block", F.monotonically_increasing_id()), "blocks")
+
 
-    # pass one: the blocks about each query's own distance in its own pivot's order
-    queries = keyed.where(wanted)
-    own = queries.withColumn("bound", F.lit(float("inf")))
-    seen = _meet(own, blocks, (F.col("d") >= F.col("low")) & (F.col("d") <= F.col("high")), PART).mapInArrow(_search(dim, k, most, slack), result)
-    kth = _ranked(seen, k).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k).select(F.col("query_id").alias("id"), "least")
-    kth = scratch.save(kth, "kth")
+def _spread(chosen: np.ndarray, dim: int, most: float):
+    """A row for each query and pivot with the distance between them and the query's bound."""
 
-    # pass two: all annuli that the bound on the k-th distance leaves
-    def spread(batches):
+    def run(batches):
         for batch in batches:
             v = _matrix(batch.column("v"), dim)
             d = _to_pivots(np.column_stack([v.astype(np.float64), np.zeros(len(v))]), chosen)
@@ -206,8 +219,28 @@ def search(vectors: DataFrame, id_column: str, column: str, wanted: Column, k: i
                 ["id", "v", "pivot", "d", "bound"],
             )
 
-    asked = queries.select("id", "v").join(kth, "id", "left").withColumn("least", F.col("least").cast("double"))
-    asked = asked.mapInArrow(spread, f"{kinds}, bound double")
-    near = (F.col("low") <= F.col("d") + F.col("bound") + slack) & (F.col("high") >= F.col("d") - F.col("bound") - slack)
-    found = _meet(asked, blocks, near, PART).mapInArrow(_search(dim, k, most, slack), result)
-    return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return run
+
+
+def _search_length(rows: DataFrame, wanted: Column, dim: int, n: int, most: float, k: int, pivots: int, block: int) -> DataFrame:
+    """``query_id, vec_id, score``: the k best of each query and a few more, among vectors of one length."""
+    slack = SLACK * (most**0.5 + 1)
+    few = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    chosen = _pivots(_lifted(np.array([r["v"] for r in few], np.int64), most), pivots)
+    keyed, blocks = _index(rows, chosen, dim, n, most, k, block)
+    queries, edges = keyed.where(wanted).select("id", "v"), blocks.select("pivot", "low", "high")
+    gap = F.greatest(F.col("low") - F.col("d"), F.col("d") - F.col("high"), F.lit(0.0))
+    found, kth, radius, furthest = None, None, -1.0, 2 * most**0.5 + slack
+    for share in STEPS:
+        last, radius = radius, share * furthest if share < 1 else float("inf")
+        asked = queries.join(kth, "id", "left") if kth is not None else queries.withColumn("least", F.lit(None))
+        asked = asked.withColumn("least", F.col("least").cast("double")).mapInArrow(_spread(chosen, dim, most), "id bigint, v array<bigint>, pivot int, d double, bound double")
+        near = (gap > last) & (gap <= radius) & (gap <= F.col("bound") + slack)
+        if kth is not None and asked.join(edges, "pivot").where((gap > last) & (gap <= F.col("bound") + slack)).isEmpty():
+            break
+        step = scratch.save(_ranked(_meet(asked, blocks, near, PART).mapInArrow(_search(dim, k, most, slack), RESULT), k).drop("rank"), "step")
+        found = step if found is None else found.unionByName(step)
+        kth = _ranked(found, k).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k).select(F.col("query_id").alias("id"), "least")
+        kth = scratch.save(kth, "kth")
+        furthest = queries.join(kth, "id", "left").select(F.max(F.coalesce(F.sqrt(F.greatest(F.lit(0.0), F.lit(2 * most) - 2 * F.col("least").cast("double"))), F.lit(furthest)))).first()[0] or furthest
+    return found
