@@ -18,6 +18,7 @@ tokens; null ids and repeated rows are kept; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +28,20 @@ from pyspark.sql import functions as F
 RULES = ("start", "majority", "split")
 # The public pre-tokenizer pattern of the vocabulary; fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PIECE = 1 << 16
 ROWS = 256
+# Unicode white space, as the pattern's \\s has it; fixed value.
+SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+RUN = 1024
 
 
 class Encoder:
     """Token ids of a text and the byte length of each token."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, run: int = RUN):
         import tiktoken
 
+        self.run = re.compile(f"[{SPACE}]{{{run},}}")
+
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -45,7 +50,18 @@ class Encoder:
             self.length[rank] = len(token)
 
     def lengths(self, text: str) -> np.ndarray:
-        return self.length[np.array(self.encoding.encode_ordinary(text), np.int64)]
+        return self.length[np.array(self.ids(text), np.int64)]
+
+    def ids(self, text: str) -> list[int]:
+        """The vocabulary's ids.  The pattern makes a run of white space one piece, but for its last
+        character where a word follows; long runs, which would exhaust the matcher, are cut so here."""
+        out, at = [], 0
+        for m in self.run.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            out += self.encoding.encode_ordinary(text[at : m.start()])
+            out += self.encoding._encode_single_piece(text[m.start() : end])
+            at = end
+        return out + self.encoding.encode_ordinary(text[at:] if at else text)
 
 
 _kept: dict[str, Encoder] = {}
