@@ -20,6 +20,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 
@@ -72,17 +73,30 @@ class Transducer:
 
     def merges(self, text: str) -> list[str]:
         """Merges neighbours by score, the leftmost first among equals: the model's definition."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.id.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.score[i] > best):
-                    best, at = self.score[i], k
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        parts, n = list(text), len(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = []
+
+        def offer(k: int) -> None:
+            if k >= 0 and after[k] < n:
+                piece = parts[k] + parts[after[k]]
+                i = self.id.get(piece)
+                if i is not None:
+                    heapq.heappush(heap, (-self.score[i], k, piece))
+
+        for k in range(n - 1):
+            offer(k)
+        while heap:
+            _, k, piece = heapq.heappop(heap)
+            follows = after[k]
+            if parts[k] and follows < n and len(parts[k]) + len(parts[follows]) == len(piece):  # neither has changed
+                parts[k], parts[follows] = piece, ""
+                after[k] = after[follows]
+                if after[k] < n:
+                    before[after[k]] = k
+                offer(before[k])
+                offer(k)
+        return [p for p in parts if p]
 
     def _settled(self, a: str, b: str) -> bool:
         found = self.settled.get((a, b))
@@ -203,7 +217,7 @@ class Transducer:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-_WORD = re.compile(META + "*[^" + META + "]+|" + META + "+")
+_WORD = re.compile(META + "*+[^" + META + "]+|" + META + "+")
 _kept: dict[str, Transducer] = {}
 
 
