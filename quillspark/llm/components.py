@@ -1,7 +1,11 @@
 """Connected components of an edge table by large-star and small-star steps.
 
 Edges are rows ``(u, v)`` of 64-bit ids.  Each step is one aggregation and one join whose rows
-number no more than the edges; the table is written to the shared folder after each pair of steps.
+number no more than the edges; the table is written to the shared folder after each pair of steps,
+and the one before it removed.
+
+Results for odd input: loops and rows with a null end link nothing; repeated edges count once; an
+empty table gives no rows; columns other than ``u`` and ``v`` are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +31,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, least node of its component) for each node that has an edge to a smaller one."""
-    table = scratch.save(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    table = scratch.save(edges.select("u", "v").where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
-    for _ in range(most_rounds):
+    while True:  # each pair of steps moves nodes to smaller ones until nothing changes
         now = table.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if now["n"] == 0 or now == mark:
             return table.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark, old = now, table
-        table = scratch.save(_small_star(scratch.save(_large_star(table), "large")), "small")
-    raise RuntimeError("components did not settle")
+        large = scratch.save(_large_star(table), "large")
+        mark, old, table = now, table, scratch.save(_small_star(large), "small")
+        scratch.drop(large)
+        scratch.drop(old)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm import scratch
 from quillspark.llm import words as W
 
 WIDTH, STRIDE = 32, 16
@@ -191,6 +192,7 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accept(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` with its columns, without the rows that score below ``least``."""
-    scored = docs.withColumn("__score", scorer(fit(docs, labels))(docs["text"].cast("string")))
-    return scored.where(F.col("__score") >= least).drop("__score")
+    """``docs`` with its columns, whatever their names, without the rows that score below ``least``."""
+    (score,) = scratch.fresh(docs, "score")
+    scored = docs.withColumn(score, scorer(fit(docs, labels))(docs["text"].cast("string")))
+    return scored.where(F.col(score) >= least).drop(score)

@@ -36,7 +36,9 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     path = f"{base(spark)}/quillspark-{uuid.uuid4().hex}-{tag}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
@@ -52,9 +54,9 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
 
 def drop(df: DataFrame) -> None:
     """Removes the table that ``save`` returned as ``df``, which nothing will read again."""
-    for spark, path in [x for x in _written if any(f.startswith(x[1].removeprefix("file://")) or x[1] in f for f in df.inputFiles()[:1])]:
-        remove(path, spark)
-        _written.remove((spark, path))
+    found = (df.sparkSession, df.scratch_path)
+    remove(found[1], found[0])
+    _written.remove(found)
 
 
 def remove(path: str, spark: SparkSession) -> None:

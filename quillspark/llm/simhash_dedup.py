@@ -180,7 +180,8 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns: of each group the rows with the smallest id, and null ids."""
-    kept = groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    (mine,) = scratch.fresh(docs, "kept")
+    kept = groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias(mine)).distinct()
     ids = docs["doc_id"].cast("bigint")
-    named = docs.join(kept, ids == F.col("__kept"), "left_semi")
+    named = docs.join(kept, ids == F.col(mine), "left_semi")
     return named.unionByName(docs.where(ids.isNull()))
