@@ -107,7 +107,8 @@ def breakdown(labelled: DataFrame, *keys: str) -> DataFrame:
 
 
 def with_cache(papers: DataFrame, cache: DataFrame, model: Callable[[Column], Column], prompt: Column, provider: str, name: str, refresh: bool = False) -> DataFrame:
-    """Labels by a model: cached replies by content key, others from ``model(prompt)``.
+    """Labels by a model: cached replies by content key, others from ``model(prompt)``,
+    which sees the prompts that the cache lacks and no others.
 
     ``cache`` has ``key, label, confidence``; ``model`` gives a struct of ``label, confidence``.
     """
@@ -115,7 +116,8 @@ def with_cache(papers: DataFrame, cache: DataFrame, model: Callable[[Column], Co
     hits = cache.select(F.col("key").alias("cache_key"), F.col("label").alias("_label"), F.col("confidence").alias("_confidence"))
     joined = keyed.join(hits, "cache_key", "left")
     known = F.lit(not refresh) & F.col("_label").isNotNull()
-    asked = joined.withColumn("_reply", F.when(~known, model(F.col("_prompt"))))
-    return asked.withColumns(
-        {"label": T.label(F.when(known, F.col("_label")).otherwise(F.col("_reply.label"))), "confidence": F.when(known, F.col("_confidence")).otherwise(F.col("_reply.confidence")), "cached": known}
-    ).drop("_label", "_confidence", "_reply", "_prompt")
+    # a condition around a Python function does not keep it from being called, so rows are parted
+    asked = joined.where(~known).withColumn("_reply", model(F.col("_prompt")))
+    found = joined.where(known).select("*", F.col("_label").alias("label"), F.col("_confidence").alias("confidence"), F.lit(True).alias("cached"))
+    new = asked.select("*", F.col("_reply.label").alias("label"), F.col("_reply.confidence").alias("confidence"), F.lit(False).alias("cached")).drop("_reply")
+    return found.unionByName(new).withColumn("label", T.label(F.col("label"))).drop("_label", "_confidence", "_prompt")

@@ -31,7 +31,10 @@ def url_pairs(records: DataFrame) -> DataFrame:
     links = F.transform(T.urls(F.coalesce("availability_url", F.lit("")), F.coalesce("availability_notes", F.lit(""))), T.normalize_url)
     every = F.concat(F.filter(links, lambda u: u != ""), F.when(doi != "", F.array(F.concat(F.lit("doi:"), doi))).otherwise(F.array().cast("array<string>")))
     at = records.select("ord", "name", _keys("keys").alias("keys"), F.explode(F.array_distinct(every)).alias("url"))
-    a, b = (at.select("url", *(F.col(c).alias(f"{c}_{s}") for c in ("ord", "name", "keys"))) for s in "ab")
+    # the first record of a name, and its first one with other papers, hold the first pair with any other name
+    firsts = at.groupBy("url", "name", "keys").agg(F.min("ord").alias("ord"))
+    few = firsts.withColumn("n", F.row_number().over(Window.partitionBy("url", "name").orderBy("ord"))).where("n <= 2")
+    a, b = (few.select("url", *(F.col(c).alias(f"{c}_{s}") for c in ("ord", "name", "keys"))) for s in "ab")
     met = a.join(b, "url").where((F.col("ord_a") < F.col("ord_b")) & (F.col("keys_a") != F.col("keys_b")))
     met = met.withColumns({"low": F.least("name_a", "name_b"), "high": F.greatest("name_a", "name_b")})
     one = pick(met, ["low", "high"], [F.col("ord_a"), F.col("ord_b"), F.col("url")])
@@ -126,7 +129,10 @@ def confirmed(pairs: DataFrame, reply: Column) -> DataFrame:
 
 def _cut(df: DataFrame, spark: SparkSession) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillspark-"))
     return df.checkpoint()
 
 

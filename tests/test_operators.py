@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,47 @@ def test_labels_through_a_cache(spark):
     assert rows(out, "id", "label", "confidence", "cached") == [(1, "yes", 0.9, True), (2, "maybe", 0.4, False)]
 
 
+def test_a_model_sees_only_what_the_cache_lacks(spark, tmp_path):
+    import uuid
+
+    from pyspark.sql.functions import pandas_udf
+
+    folder = str(tmp_path)
+
+    @pandas_udf("label string, confidence double")
+    def model(prompts: pd.Series) -> pd.DataFrame:
+        for p in prompts:
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(p))
+        return pd.DataFrame({"label": ["no"] * len(prompts), "confidence": [0.3] * len(prompts)})
+
+    papers = spark.createDataFrame([(k, f"t{k}") for k in range(6)], "id int, title string")
+    keys = papers.where("id < 4").select(classify.T.content_key(F.lit("p"), F.lit("m"), F.col("title")).alias("key"))
+    cache = keys.select("key", F.lit("yes").alias("label"), F.lit(0.9).alias("confidence"))
+    out = classify.with_cache(papers, cache, model, F.col("title"), "p", "m")
+    assert rows(out, "id", "label", "cached") == [(k, "yes" if k < 4 else "no", k < 4) for k in range(6)]
+    assert sorted(f.read_text() for f in tmp_path.iterdir()) == ["t4", "t5"]
+    assert {r["cached"] for r in classify.with_cache(papers, cache, model, F.col("title"), "p", "m", refresh=True).collect()} == {False}
+
+
+def test_url_pairs_against_all_pairs(spark):
+    import random
+
+    from quillspark.operators import resolve
+
+    for seed in range(4):
+        rng = random.Random(seed)
+        data = [(k, f"n{rng.randrange(5)}", [f"k{rng.randrange(3)}"], f"https://d.org/{rng.randrange(3)}") for k in range(40)]
+        first = {}
+        for i, n, x, u in data:
+            for j, m, y, v in data:
+                if i < j and u == v and x != y:
+                    names = tuple(sorted((n, m)))
+                    first[names] = min(first.get(names, (i, j, u)), (i, j, u))
+        table = spark.createDataFrame(data, "ord int, name string, keys array<string>, availability_url string").withColumns({"doi": F.lit(None).cast("string"), "availability_notes": F.lit("")})
+        assert rows(resolve.url_pairs(table), "ord_a", "ord_b") == sorted((x[:2] for x in first.values()), key=repr)
+
+
 def test_cascade(spark):
     schema = "venue string, ord int, id string, title string, doi string"
     a = spark.createDataFrame([("v", 1, "a1", "one", "10.1/x"), ("v", 2, "a2", "two words", ""), ("v", 3, "a3", "fuzzy title of paper", "")], schema)
