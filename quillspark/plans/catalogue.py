@@ -271,10 +271,10 @@ def merge_master(t):
 
 def _linked(t):
     d = t.datasets.withColumns({"keys": F.array("key"), "environment": F.lit("Lab"), "doi": F.lit(None).cast("string"), "availability_notes": F.lit("")})
-    return d.withColumn("availability_url", F.concat(F.lit("https://data.example.org/"), F.substring("name", 1, 6), F.lit("/")))
+    return d.withColumn("availability_url", F.concat(F.lit("https://data.example.org/"), F.substring_index("name", " ", 1), F.lit("/")))
 
 
-@query(rf"""WITH {_DATASETS}, l AS (SELECT *, lower('data.example.org/' || split_part(left(name, 6), ' ', 1)) AS url FROM d),
+@query(rf"""WITH {_DATASETS}, l AS (SELECT *, lower('data.example.org/' || split_part(name, ' ', 1)) AS url FROM d),
  p AS (SELECT a.ord AS ord_a, b.ord AS ord_b, a.name AS name_a, b.name AS name_b, row_number() OVER (PARTITION BY least(a.name, b.name), greatest(a.name, b.name) ORDER BY a.ord, b.ord) AS n
   FROM l a JOIN l b ON a.url = b.url AND a.ord < b.ord AND a.key <> b.key) SELECT ord_a, ord_b, name_a, name_b, 0.95::DOUBLE AS confidence FROM p WHERE n = 1""")
 def url_dedup_pairs(t):
@@ -286,7 +286,7 @@ def similarity_pairs(t):
     return resolve.first_similar(_linked(t), resolve.url_pairs(_linked(t)))
 
 
-_EDGES = rf"""{_DATASETS}, l AS (SELECT *, split_part(left(name, 6), ' ', 1) AS url FROM d), root AS (SELECT DISTINCT a.name, min(b.name) OVER (PARTITION BY a.name) AS root
+_EDGES = rf"""{_DATASETS}, l AS (SELECT *, split_part(name, ' ', 1) AS url FROM d), root AS (SELECT DISTINCT a.name, min(b.name) OVER (PARTITION BY a.name) AS root
  FROM (SELECT DISTINCT name, url FROM l) a JOIN (SELECT DISTINCT name, url FROM l) b USING (url))"""
 
 
@@ -385,21 +385,33 @@ def label_coerce(t):
     return t.events.select("event_id", T.label(said).alias("label"), F.coalesce(score.try_cast("double"), F.lit(0.8)).alias("confidence"))
 
 
+@query("""WITH c AS (SELECT sha256(concat_ws(chr(0), 'p', 'm', coalesce(text, ''))) AS key, min(quality) AS quality FROM documents JOIN labels USING (doc_id) GROUP BY 1)
+ SELECT doc_id AS id, CASE quality WHEN 1 THEN 'yes' WHEN 0 THEN 'no' ELSE 'maybe' END AS label, CASE WHEN quality IS NULL THEN 0.4 ELSE 0.9 END::DOUBLE AS confidence, quality IS NOT NULL AS cached
+ FROM documents LEFT JOIN c ON key = sha256(concat_ws(chr(0), 'p', 'm', coalesce(text, '')))""")
+def labels_cached(t):
+    prompt = F.coalesce("text", F.lit(""))
+    said = t.documents.join(t.labels, "doc_id").groupBy(T.content_key(F.lit("p"), F.lit("m"), prompt).alias("key")).agg(F.min("quality").alias("quality"))
+    cache = said.select("key", F.when(F.col("quality") == 1, "yes").otherwise("no").alias("label"), F.lit(0.9).alias("confidence"))
+    model = lambda p: F.struct(F.lit("perhaps").alias("label"), F.lit(0.4).alias("confidence"))
+    papers = t.documents.select(F.col("doc_id").alias("id"), prompt.alias("text"))
+    return classify.with_cache(papers, cache, model, F.col("text"), "p", "m").select("id", "label", "confidence", "cached")
+
+
 @query("SELECT doc_id, 'v1:' || sha256(concat_ws(chr(0), 'provider', 'model', coalesce(text, ''))) AS key, to_base64(encode(coalesce(text, ''))) AS packed FROM documents")
 def content_keys(t):
     text = F.coalesce("text", F.lit(""))
     return t.documents.select("doc_id", T.content_key(F.lit("provider"), F.lit("model"), text).alias("key"), F.replace(F.base64(text.cast("binary")), F.lit("\r\n"), F.lit("")).alias("packed"))
 
 
-@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS session FROM conversations""")
+@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS session FROM conversations""")
 def session_carry(t):
-    return records.carried(t.conversations, ["conv_id"], "turn", F.when(F.col("role") == "user", F.substring("text", 1, 20)), "session").select("conv_id", "turn", "session")
+    return records.carried(t.conversations, ["conv_id"], "turn", F.when(F.col("role") == "user", F.col("text")), "session").select("conv_id", "turn", "session")
 
 
-@query("""WITH n AS (SELECT conv_id, role, left(text, 20) AS head, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations)
+@query("""WITH n AS (SELECT conv_id, role, text AS head, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations)
  SELECT a.conv_id, a.n, a.head AS asked, b.head AS said FROM n a LEFT JOIN n b ON a.conv_id = b.conv_id AND a.n = b.n AND b.role = 'assistant' WHERE a.role = 'user'""")
 def positional_zip(t):
-    side = lambda r, c: t.conversations.where(F.col("role") == r).select("conv_id", "turn", F.substring("text", 1, 20).alias(c))
+    side = lambda r, c: t.conversations.where(F.col("role") == r).select("conv_id", "turn", F.col("text").alias(c))
     return records.zipped(side("user", "asked"), side("assistant", "said"), ["conv_id"], "turn").select("conv_id", F.col("n").cast("bigint").alias("n"), "asked", "said")
 
 
@@ -412,10 +424,10 @@ def record_filter(t):
     return t.datasets.withColumn("name", name).where(records.accepted(F.col("name"), F.col("relationship_type"), F.col("confidence"))).select("ord", "name")
 
 
-@query(rf"""WITH {_PAPERS}, w AS (SELECT id, list_distinct(list_filter(string_split({_GUARD.format('title')}, ' '), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split({_GUARD.format("left(coalesce(abstract, ''), 200)")}, ' '), lambda x: x <> '')) AS b FROM papers)
+@query(rf"""WITH {_PAPERS}, w AS (SELECT id, list_distinct(list_filter(string_split({_GUARD.format('title')}, ' '), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split({_GUARD.format("coalesce(abstract, '')")}, ' '), lambda x: x <> '')) AS b FROM papers)
  SELECT id, coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 0.0) AS jaccard FROM w""")
 def set_jaccard(t):
-    a, b = T.tokens(T.guard_title("title")), T.tokens(T.guard_title(F.substring(F.coalesce("abstract", F.lit("")), 1, 200)))
+    a, b = T.tokens(T.guard_title("title")), T.tokens(T.guard_title(F.coalesce("abstract", F.lit(""))))
     return t.papers.select("id", metrics.ratio(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))).alias("jaccard"))
 
 
