@@ -33,6 +33,7 @@ META = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 CACHE_PARTS = 250_000
 ROWS = 64
+SHORT = 32
 
 
 class Transducer:
@@ -73,6 +74,22 @@ class Transducer:
 
     def merges(self, text: str) -> list[str]:
         """Merges neighbours by score, the leftmost first among equals: the model's definition."""
+        return self._scan(text) if len(text) <= SHORT else self._queue(text)
+
+    def _scan(self, text: str) -> list[str]:
+        """Looks through all neighbours for each merge, which is fastest for a few characters."""
+        parts = list(text)
+        while len(parts) > 1:
+            ids = [self.id.get(a + b) for a, b in zip(parts, parts[1:])]
+            best = max((self.score[i] for i in ids if i is not None), default=None)
+            if best is None:
+                break
+            at = next(k for k, i in enumerate(ids) if i is not None and self.score[i] == best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def _queue(self, text: str) -> list[str]:
+        """Keeps possible merges in a queue, so that time grows with the length."""
         parts, n = list(text), len(text)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []

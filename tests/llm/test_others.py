@@ -92,6 +92,10 @@ def test_pieces_of_long_runs_take_seconds():
 
     t = piece_fst.Transducer(PIECES)
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        text = "".join(rng.choice(list("▁▁aetnohils."), rng.integers(1, 80)))
+        assert t._scan(text) == t._queue(text)
     for text in (" " * 100_000, "a" * 100_000, "\n" * 100_000, "ab" * 50_000, "x" + " " * 50_000 + "y"):
         began = time.perf_counter()
         ids = np.frombuffer(t.encode(text), "<u4").tolist()
