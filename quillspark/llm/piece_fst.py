@@ -80,11 +80,13 @@ class Transducer:
         """Looks through all neighbours for each merge, which is fastest for a few characters."""
         parts = list(text)
         while len(parts) > 1:
-            ids = [self.id.get(a + b) for a, b in zip(parts, parts[1:])]
-            best = max((self.score[i] for i in ids if i is not None), default=None)
+            best, at = None, -1
+            for k in range(len(parts) - 1):
+                i = self.id.get(parts[k] + parts[k + 1])
+                if i is not None and (best is None or self.score[i] > best):
+                    best, at = self.score[i], k
             if best is None:
                 break
-            at = next(k for k, i in enumerate(ids) if i is not None and self.score[i] == best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
