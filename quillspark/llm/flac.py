@@ -1,10 +1,13 @@
-"""FLAC streams: a decoder for all subframe kinds, an encoder for fixed predictors, PCM blocks.
+"""FLAC streams: a decoder for all subframe kinds, an encoder, PCM blocks with sample offsets.
 
 The decoder reads Rice residuals (both parameter sizes, escapes, partitions), constant, verbatim,
 fixed and linear-predictor subframes, wasted bits and the three stereo kinds; it verifies each
-frame's header and frame checksum and the stream's MD5.  It works from bytes in memory, one frame
-at a time, and yields PCM blocks with the number of their first sample, so that a block can be
-found by a sample's number.  The encoder writes mono streams with a seek table.
+frame's header and frame checksum, the seek points and the stream's MD5.  Frames are read one after
+another; linear predictors are undone for many frames, of one stream or of several, at once.  What
+comes out are PCM blocks with the number of their first sample and their place in the stream, so
+that a block can be found by a sample's number.  The encoder writes mono streams with a seek table;
+its linear predictors have order 2 and weights from exact integer sums, so that equal samples give
+equal streams on every machine.
 
 ``store`` and ``read`` apply both to a table.  Results for odd input: a null text is an empty one;
 an empty text is 64 zero bytes; rows with a null ``doc_id`` and repeated rows are kept; other
@@ -16,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ BLOCK = 4096
 RATE = 8000
 UNIT = 64
 ROWS = 128
+GROUP = 256
+PRECISION, SHIFT = 12, 10
 
 
 class FlacError(ValueError):
@@ -93,8 +98,22 @@ def _bits(value: int, width: int) -> np.ndarray:
     return np.array([value >> k & 1 for k in range(width - 1, -1, -1)], np.uint8)
 
 
+def _weights(x: np.ndarray) -> list[int] | None:
+    """The two weights of least squares, scaled by 2**SHIFT, from sums that are exact integers."""
+    if len(x) < 16:
+        return None
+    y, a, b = x[2:], x[1:-1], x[:-2]
+    aa, ab, bb, ay, by = (int(p @ q) for p, q in ((a, a), (a, b), (b, b), (a, y), (b, y)))
+    below = aa * bb - ab * ab
+    if below <= 0:
+        return None
+    out = [((top << (SHIFT + 1)) + below) // (2 * below) for top in (ay * bb - by * ab, by * aa - ay * ab)]
+    most = 1 << (PRECISION - 1)
+    return out if all(-most <= w < most for w in out) else None
+
+
 def _subframe(x: np.ndarray, bits: int) -> np.ndarray:
-    """The shortest of constant, verbatim and fixed predictors of order 0 to 2, as bits."""
+    """The shortest of constant, verbatim, fixed predictors of order 0 to 2 and a linear one, as bits."""
     mask = (1 << bits) - 1
     if (x == x[0]).all():
         return np.concatenate([_bits(0, 8), _bits(int(x[0]) & mask, bits)])
@@ -105,10 +124,17 @@ def _subframe(x: np.ndarray, bits: int) -> np.ndarray:
             if best is None or cost < best:
                 best, residual, order = cost, d, k
             d = np.diff(d)
+    weights = _weights(x)
+    if weights:
+        d = x[2:] - (weights[0] * x[1:-1] + weights[1] * x[:-2] >> SHIFT)
+        if int(np.abs(d).sum()) + 2 * (1 << (bits - 2)) + 4 * PRECISION < best:
+            residual, order = d, 2
+        else:
+            weights = None
     u = residual << 1 ^ residual >> 63
     guess = max(0, int(u.sum() // max(1, len(u))).bit_length() - 1)
     size, k = min((int((u >> k).sum()) + len(u) * (k + 1), k) for k in range(max(0, min(14, guess) - 1), min(14, guess + 1) + 1))
-    if size + order * bits + 10 >= len(x) * bits:
+    if size + order * bits + 10 + (9 + 2 * PRECISION if weights else 0) >= len(x) * bits:
         body = (x[:, None] >> np.arange(bits - 1, -1, -1) & 1).astype(np.uint8).reshape(-1)
         return np.concatenate([_bits(2, 8), body])
     q = u >> k
@@ -118,6 +144,9 @@ def _subframe(x: np.ndarray, bits: int) -> np.ndarray:
     for b in range(k):
         code[stop + (b + 1)] = u >> (k - 1 - b) & 1
     warm = [_bits(int(v) & mask, bits) for v in x[:order]]
+    if weights:
+        scale = [_bits(PRECISION - 1, 4), _bits(SHIFT, 5), *(_bits(w & (1 << PRECISION) - 1, PRECISION) for w in weights)]
+        return np.concatenate([_bits((32 | order - 1) << 1, 8), *warm, *scale, _bits(0, 6), _bits(k, 4), code])
     return np.concatenate([_bits((8 | order) << 1, 8), *warm, _bits(0, 6), _bits(k, 4), code])
 
 
@@ -259,15 +288,48 @@ def _fixed(warm: list[int], residual: np.ndarray) -> np.ndarray:
     return np.concatenate([np.array(warm, np.int64), residual])
 
 
-def _linear(warm: list[int], residual: np.ndarray, weights: list[int], shift: int) -> np.ndarray:
-    out, order = list(warm), len(warm)
-    for r in residual.tolist():
-        past = out[: -order - 1 : -1]
-        out.append(r + (sum(w * x for w, x in zip(weights, past)) >> shift))
-    return np.array(out, np.int64)
-
-
-def _channel(r: _Reader, block: int, bits: int) -> np.ndarray:
+class _Linear:
+    """A channel whose linear predictor is still to be undone."""
+
+    def __init__(self, warm: list[int], residual: np.ndarray, weights: list[int], shift: int):
+        self.warm, self.residual, self.weights, self.shift = warm, residual, weights, shift
+        self.wasted, self.samples = 0, None
+
+
+def _undo(channels: list[_Linear]) -> None:
+    """Undoes the predictors of many channels together, sample by sample over all of them.
+
+    Channels are sorted by length, so that at each sample those that have ended are a tail."""
+    by_order: dict[int, list[_Linear]] = {}
+    for c in channels:
+        by_order.setdefault(len(c.warm), []).append(c)
+    for order, found in by_order.items():
+        found.sort(key=lambda c: -len(c.residual))
+        sizes = np.array([len(c.residual) for c in found])
+        out = np.zeros((order + int(sizes[0]), len(found)), np.int64)
+        for n, c in enumerate(found):
+            out[:order, n] = c.warm
+            out[order : order + len(c.residual), n] = c.residual
+        weights = [np.array([c.weights[k] for c in found], np.int64) for k in range(order)]
+        shift = np.array([c.shift for c in found], np.int64)
+        more = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")
+        for live in np.unique(more)[::-1].tolist():
+            now = np.flatnonzero(more == live) + order
+            ws, by = [w[:live] for w in weights], shift[:live]
+            past = [out[t, :live] for t in range(int(now[0]) - 1, int(now[0]) - 1 - order, -1)]
+            for t in range(int(now[0]), int(now[-1]) + 1):
+                total = ws[0] * past[0]
+                for w, x in zip(ws[1:], past[1:]):
+                    total += w * x
+                total >>= by
+                row = out[t, :live]
+                row += total
+                past = [row, *past[:-1]]
+        for n, c in enumerate(found):
+            c.samples = out[: order + len(c.residual), n] << c.wasted
+
+
+def _channel(r: _Reader, block: int, bits: int) -> np.ndarray | _Linear:
     if r.uint(1):
         raise FlacError("a subframe starts with a set bit")
     kind, wasted = r.uint(6), 0
@@ -292,14 +354,34 @@ def _channel(r: _Reader, block: int, bits: int) -> np.ndarray:
         if shift < 0:
             raise FlacError("negative shift")
         weights = [r.sint(precision) for _ in warm]
-        out = _linear(warm, _residual(r, block, len(warm)), weights, shift)
+        out = _Linear(warm, _residual(r, block, len(warm)), weights, shift)
+        out.wasted = wasted
+        return out
     else:
         raise FlacError("reserved subframe kind")
     return out << wasted
 
 
-def _frame(s: Stream, at: int) -> tuple[int, np.ndarray, int]:
-    """(first sample, samples by channel, place after the frame)."""
+class _Frame:
+    """A frame as read: its first sample, its channels, how they are paired, its place and end."""
+
+    def __init__(self, first: int, size: int, channels: list, kind: int, at: int, end: int):
+        self.first, self.size, self.channels, self.kind, self.at, self.end = first, size, channels, kind, at, end
+
+    def samples(self) -> np.ndarray:
+        """Samples by channel, once linear predictors are undone."""
+        out = [c.samples if isinstance(c, _Linear) else c for c in self.channels]
+        if self.kind == 8:
+            out[1] = out[0] - out[1]
+        elif self.kind == 9:
+            out[0] = out[0] + out[1]
+        elif self.kind == 10:
+            middle = out[0] << 1 | out[1] & 1
+            out = [middle + out[1] >> 1, middle - out[1] >> 1]
+        return np.stack(out)
+
+
+def _frame(s: Stream, at: int) -> _Frame:
     data = s.data
     if len(data) < at + 6 or data[at] != 0xFF or data[at + 1] & 0xFE != 0xF8:
         raise FlacError(f"no frame at byte {at}")
@@ -337,37 +419,77 @@ def _frame(s: Stream, at: int) -> tuple[int, np.ndarray, int]:
     end = p + 1 + (r.at + 7) // 8
     if len(data) < end + 2 or crc16(np.frombuffer(data, np.uint8, end - at, at)) != int.from_bytes(data[end : end + 2], "big"):
         raise FlacError(f"frame checksum differs at byte {at}")
-    if kind == 8:
-        out[1] = out[0] - out[1]
-    elif kind == 9:
-        out[0] = out[0] + out[1]
-    elif kind == 10:
-        middle = out[0] << 1 | out[1] & 1
-        out = [middle + out[1] >> 1, middle - out[1] >> 1]
     first = number if data[at + 1] & 1 else number * s.block
-    return first, np.stack(out), end + 2
-
-
-def frames(data: bytes, sample: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    return _Frame(first, block, out, kind, at, end + 2)
+
+
+def _blocks(streams: Iterable[tuple[object, Stream, int]], group: int) -> Iterator[tuple[object, _Frame]]:
+    """(key, frame) of every frame from the given place in each stream on, in order; predictors are
+    undone for ``group`` frames at a time, fewer if they are long, which bounds what is held."""
+    held: list[tuple[object, _Frame]] = []
+    longest = 0
+
+    def settle():
+        _undo([c for _, f in held for c in f.channels if isinstance(c, _Linear)])
+        yield from held
+        held.clear()
+
+    for key, s, at in streams:
+        points = {p[0]: p[1] for p in s.points}
+        while at < len(s.data):
+            f = _frame(s, at)
+            if points.get(f.first, at - s.start) != at - s.start:
+                raise FlacError(f"a seek point does not lead to the frame at byte {at}")
+            held.append((key, f))
+            at, longest = f.end, max(longest, f.size)
+            if len(held) >= group or len(held) * longest >= GROUP * BLOCK:
+                yield from settle()
+                longest = 0
+    yield from settle()
+
+
+def frames(data: bytes, sample: int = 0, group: int = 1) -> Iterator[tuple[int, np.ndarray]]:
     """(first sample, samples by channel) of each frame from the one that holds ``sample`` on."""
     s = Stream(data)
     at = s.start + max([(0, 0), *((p[0], p[1]) for p in s.points if p[0] <= sample)])[1]
-    while at < len(data):
-        first, found, at = _frame(s, at)
-        if first + found.shape[1] > sample:
-            yield first, found
+    for _, f in _blocks([(None, s, at)], group):
+        found = f.samples()
+        if f.first + found.shape[1] > sample:
+            yield f.first, found
+
+
+def pcm(samples: np.ndarray, bits: int) -> bytes:
+    """Little-endian PCM, channels in turn, in as few bytes a sample as ``bits`` need."""
+    return np.ascontiguousarray(samples.T).astype("<i4").view(np.uint8).reshape(-1, 4)[:, : (bits + 7) // 8].tobytes()
+
+
+class _Whole:
+    """Checks that a stream's blocks follow one another and agree with its MD5 and length."""
+
+    def __init__(self, s: Stream):
+        self.stream, self.next, self.md5 = s, 0, hashlib.md5(usedforsecurity=False)
+
+    def add(self, first: int, count: int, raw: bytes) -> None:
+        if first != self.next:
+            raise FlacError(f"sample {self.next} is missing")
+        self.next += count
+        self.md5.update(raw)
+
+    def end(self) -> None:
+        s = self.stream
+        if any(s.md5) and self.md5.digest() != s.md5 or s.samples not in (0, self.next):
+            raise FlacError("the stream's MD5 or length differs")
 
 
 def decode(data: bytes) -> tuple[Stream, np.ndarray]:
     """All samples by channel; the stream's MD5 must agree."""
     s = Stream(data)
-    parts = [found for _, found in frames(data)]
-    whole = np.concatenate(parts, axis=1) if parts else np.zeros((s.channels, 0), np.int64)
-    width = (s.bits + 7) // 8
-    raw = np.ascontiguousarray(whole.T).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
-    if any(s.md5) and hashlib.md5(raw, usedforsecurity=False).digest() != s.md5 or s.samples not in (0, whole.shape[1]):
-        raise FlacError("the stream's MD5 or length differs")
-    return s, whole
+    whole, parts = _Whole(s), []
+    for first, found in frames(data, group=GROUP):
+        whole.add(first, found.shape[1], pcm(found, s.bits))
+        parts.append(found)
+    whole.end()
+    return s, np.concatenate(parts, axis=1) if parts else np.zeros((s.channels, 0), np.int64)
 
 
 # --- tables ----------------------------------------------------------------------------------
@@ -392,50 +514,101 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
 
 
-def feature(samples: np.ndarray) -> str:
-    """Mean, root mean square, peak, sign changes and flatness of the sample histogram."""
-    x = samples.astype(np.float64)
-    share = np.bincount(samples + 128, minlength=256) / len(samples)
-    entropy = -float((share[share > 0] * np.log2(share[share > 0])).sum()) + 0.0
-    changes = int((np.diff(np.signbit(x).astype(np.int8)) != 0).sum())
-    return f"mean={x.mean():.4f};rms={np.sqrt((x * x).mean()):.4f};peak={int(np.abs(samples).max())};changes={changes};entropy={entropy:.4f}"
+class Feature:
+    """Mean, root mean square, peak, sign changes and flatness of the sample histogram, gathered
+    block by block in whole numbers."""
+
+    def __init__(self):
+        self.count, self.changes, self.last = np.zeros(256, np.int64), 0, None
+
+    def add(self, samples: np.ndarray) -> None:
+        self.count += np.bincount(samples + 128, minlength=256)
+        below = samples < 0
+        self.changes += int((below[1:] != below[:-1]).sum()) + (self.last is not None and bool(below[0]) != self.last)
+        self.last = bool(below[-1])
+
+    def text(self) -> str:
+        n, level = int(self.count.sum()), np.arange(-128, 128)
+        share = self.count[self.count > 0] / n
+        entropy = -float((share * np.log2(share)).sum()) + 0.0
+        mean, power = int((self.count * level).sum()) / n, int((self.count * level * level).sum()) / n
+        return f"mean={mean:.4f};rms={power**0.5:.4f};peak={int(np.abs(level[self.count > 0]).max())};changes={self.changes};entropy={entropy:.4f}"
+
+
+def blocks(part: list[tuple[object, bytes]]) -> Iterator[tuple[object, Stream, int, _Frame | None, np.ndarray | None, bytes]]:
+    """(key, stream, number, frame, samples, PCM) of every block of several streams in order, and
+    after each stream's last block once (key, stream, number of blocks, None, None, b"").  A stream
+    is checked against its MD5 before its end is told."""
+    streams = [Stream(data) for _, data in part]
+    wholes, at, number = [_Whole(s) for s in streams], 0, 0
+
+    def end(until):
+        nonlocal at, number
+        while at < until:
+            wholes[at].end()
+            yield part[at][0], streams[at], number, None, None, b""
+            at, number = at + 1, 0
+
+    for n, f in _blocks(((n, s, s.start) for n, s in enumerate(streams)), GROUP):
+        yield from end(n)
+        samples = f.samples()
+        raw = pcm(samples, streams[n].bits)
+        wholes[n].add(f.first, samples.shape[1], raw)
+        yield part[n][0], streams[n], number, f, samples, raw
+        number += 1
+    yield from end(len(part))
+
+
+_POINTS = pa.list_(pa.struct([("first_sample", pa.int64()), ("n_samples", pa.int64()), ("byte_offset", pa.int64()), ("pcm_crc32", pa.int64())]))
+_READ = (
+    "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, "
+    "blocks array<struct<first_sample:bigint,n_samples:bigint,byte_offset:bigint,pcm_crc32:bigint>>"
+)
 
 
 def read(media: DataFrame) -> DataFrame:
-    """Decodes stored streams and gives their digests and features."""
+    """Decodes stored streams into PCM blocks and gives their digests, features and ``blocks``: for
+    each block its first sample, samples, place in the stream and the CRC-32 of its PCM."""
 
     def run(batches):
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), _POINTS)
         for batch in batches:
             for a in range(0, len(batch), ROWS):
                 part = batch.slice(a, ROWS)
-                rows = []
-                for m in part.column("media").to_pylist():
-                    samples = decode(m)[1][0]
-                    own = (samples + 128).astype(np.uint8).tobytes()
-                    rows.append((len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature(samples)))
-                columns = list(zip(*rows)) if rows else [()] * 6
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds))], [x.split()[0] for x in _READ.split(", ")])
+                data = part.column("media").to_pylist()
+                rows, sha, gathered, size, tail, points = [], hashlib.sha256(), Feature(), 0, b"", []
+                for n, _, _, f, samples, raw in blocks(list(enumerate(data))):
+                    if f is None:
+                        rows.append((size, sha.hexdigest(), zlib.crc32(tail), len(data[n]), hashlib.sha256(data[n]).hexdigest(), gathered.text(), points))
+                        sha, gathered, size, tail, points = hashlib.sha256(), Feature(), 0, b"", []
+                        continue
+                    own = (samples[0] + 128).astype(np.uint8).tobytes()
+                    sha.update(own)
+                    gathered.add(samples[0])
+                    tail = (tail + own)[-UNIT:]
+                    points.append({"first_sample": size, "n_samples": len(own), "byte_offset": f.at, "pcm_crc32": zlib.crc32(raw)})
+                    size += len(own)
+                columns = list(zip(*rows)) if rows else [()] * len(kinds)
+                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "blocks"]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
 
     return media.mapInArrow(run, _READ)
 
 
-_READ = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-
-
 def pcm_blocks(media: DataFrame, id_column: str = "doc_id", column: str = "media") -> DataFrame:
-    """``id, block, first_sample, n_samples, pcm`` for each frame of each stream; ``pcm`` is
-    little-endian, channels in turn, in as few bytes a sample as its bits need."""
+    """``id, block, first_sample, n_samples, byte_offset, pcm`` for each frame of each stream that
+    is not null; ``byte_offset`` is the frame's place in the stream."""
 
     def run(batches):
+        names = ["id", "block", "first_sample", "n_samples", "byte_offset", "pcm"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            for i, m in zip(batch.column("id").to_pylist(), batch.column("media").to_pylist()):
-                if m is None:
-                    continue
-                width = (Stream(m).bits + 7) // 8
-                for n, (first, found) in enumerate(frames(m)):
-                    raw = np.ascontiguousarray(found.T).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([n], pa.int32()), pa.array([first], pa.int64()), pa.array([found.shape[1]], pa.int64()), pa.array([raw], pa.binary())], ["id", "block", "first_sample", "n_samples", "pcm"])
+            pairs = list(zip(batch.column("id").to_pylist(), batch.column("media").to_pylist()))
+            for a in range(0, len(pairs), ROWS):
+                for i, _, n, f, samples, raw in blocks([p for p in pairs[a : a + ROWS] if p[1] is not None]):
+                    if f is not None:
+                        row = (i, n, f.first, samples.shape[1], f.at, raw)
+                        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
     rows = media.select(F.col(id_column).cast("bigint").alias("id"), F.col(column).alias("media"))
-    return rows.mapInArrow(run, "id bigint, block int, first_sample bigint, n_samples bigint, pcm binary")
+    return rows.mapInArrow(run, "id bigint, block int, first_sample bigint, n_samples bigint, byte_offset bigint, pcm binary")

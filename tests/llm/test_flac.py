@@ -84,6 +84,49 @@ def test_linear_predictor_partitions_escape_and_side_channel():
     assert got[0].tolist() == left and got[1].tolist() == [a - s for a, s in zip(left, side)]
 
 
+def plain_linear(warm, residual, weights, shift):
+    out = list(warm)
+    for r in residual:
+        out.append(r + (sum(w * x for w, x in zip(weights, reversed(out))) >> shift))
+    return out
+
+
+def test_predictors_are_undone_together_as_one_by_one():
+    rng = np.random.default_rng(5)
+    channels = []
+    for n in (0, 1, 7, 7, 300, 4000, 4000, 20):
+        for order in (1, 2, 5):
+            channels.append(A._Linear(rng.integers(-99, 99, order).tolist(), rng.integers(-9, 9, n), rng.integers(-300, 300, order).tolist(), 10))
+    order = rng.permutation(len(channels))
+    A._undo([channels[k] for k in order])
+    for c in channels:
+        assert c.samples.tolist() == plain_linear(c.warm, c.residual.tolist(), c.weights, c.shift)
+
+
+def test_texts_meet_linear_frames_among_others():
+    rng = np.random.default_rng(1)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).tolist()) for _ in range(50)]
+    prose = [b" ".join(words[k] for k in rng.integers(0, 50, n)) for n in (3, 40, 900, 5000)]
+    waves = [bytes((128 + 90 * np.sin(np.arange(n) / 9)).astype(np.uint8).tolist()) for n in (200, 9000)]
+    data = [A.encode(np.frombuffer(A.payload(t), np.uint8).astype(np.int64) - 128) for t in (*prose, *waves, b"")]
+    linear, got = 0, {}
+    for key, s, number, f, samples, raw in A.blocks(list(enumerate(data))):
+        if f is None:
+            assert number == len(got.get(key, ()))
+            continue
+        linear += isinstance(f.channels[0], A._Linear)
+        assert (f.first, f.at - s.start, f.size) == s.points[number] and raw == samples[0].astype(np.int8).tobytes()
+        got.setdefault(key, []).append(samples[0])
+    assert 3 <= linear < sum(map(len, got.values()))
+    for key, t in enumerate((*prose, *waves, b"")):
+        assert (np.concatenate(got[key]) + 128).astype(np.uint8).tobytes() == A.payload(t)
+    swapped = bytearray(data[3])
+    at = A.Stream(data[3]).start - len(A.Stream(data[3]).points) * 18 + 18 + 15  # low byte of the second point's place
+    swapped[at] ^= 1
+    with pytest.raises(A.FlacError, match="seek point"):
+        A.decode(bytes(swapped))
+
+
 def test_middle_side():
     left, right = [5, -3, 7, 8], [2, -8, 7, 1]
     b = Bits()
@@ -119,6 +162,12 @@ def test_tables(odd, odd_rows, empty):
         want.append((d, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
     assert sorted((tuple(r)[:5] for r in got), key=repr) == sorted(want, key=repr)
     stored = {r.doc_id: r.media for r in media.collect()}
+    for r in got:
+        at = [(b.first_sample, b.n_samples) for b in r.blocks]
+        assert at == [(k, min(A.BLOCK, r.payload_bytes - k)) for k in range(0, r.payload_bytes, A.BLOCK)]
+        first, found = next(A.frames(stored[r.doc_id], r.payload_bytes - 1))
+        assert first == r.blocks[-1].first_sample and zlib.crc32(A.pcm(found, 8)) == r.blocks[-1].pcm_crc32
+        assert stored[r.doc_id][r.blocks[-1].byte_offset :][:2] == b"\xff\xf8"
     assert all(r.media_bytes == len(stored[r.doc_id]) and r.media_sha256 == hashlib.sha256(stored[r.doc_id]).hexdigest() for r in got)
     assert len({r.feature for r in got if r.doc_id in (1, 2, None)}) == 1
     blocks = {}
