@@ -93,6 +93,12 @@ def passes(label: Column, strictness: str = "high") -> Column:
     return label.isin(*kept) | label.isNull()
 
 
+def to_extract(papers: DataFrame, labels: DataFrame, strictness: str = "low") -> DataFrame:
+    """Papers to extract from: positive labels, and those that the classifier gave none."""
+    one = labels.groupBy("id").agg(F.max(F.when(passes(F.col("label"), strictness), 1).otherwise(0)).alias("_keep"))
+    return papers.join(one.where("_keep = 0").select("id"), "id", "left_anti")
+
+
 def breakdown(labelled: DataFrame, *keys: str) -> DataFrame:
     """Counts and shares of labels for each key and, by rollup, over all; ``level`` counts the
     keys that are rolled up."""

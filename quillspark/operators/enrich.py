@@ -50,6 +50,72 @@ def usenix_abstract(page: Column) -> Column:
     return F.when(long_enough(found), found)
 
 
+# --- DOIs by title ---------------------------------------------------------------------------
+
+
+def bare_doi(x: Column) -> Column:
+    """A DOI without one resolver address or ``doi:`` before it; its case is kept."""
+    return F.regexp_replace(F.trim(T._text(x)), r"^(?i)(?:https?://doi\.org/|doi:)", "")
+
+
+def with_mailto(url: Column, mail: str) -> Column:
+    """The address with a contact, which polite providers ask for."""
+    if not mail.strip():
+        return url
+    sign = F.when(url.contains("?"), "&").otherwise("?")
+    return F.concat(url, sign, F.lit("mailto="), F.replace(F.url_encode(F.lit(mail.strip())), F.lit("+"), F.lit("%20")))
+
+
+def crossref_doi(title: Column, payload: Column) -> Column:
+    """The first item's DOI, if its title passes the guard."""
+    doi = F.get_json_object(payload, "$.message.items[0].DOI")
+    return guarded(F.lower(F.nullif(F.trim(doi), F.lit(""))), title, F.get_json_object(payload, "$.message.items[0].title[0]"))
+
+
+def openalex_doi(title: Column, payload: Column) -> Column:
+    doi = bare_doi(F.get_json_object(payload, "$.results[0].doi"))
+    return guarded(F.lower(F.nullif(doi, F.lit(""))), title, F.get_json_object(payload, "$.results[0].title"))
+
+
+def resolved_dois(papers: DataFrame, cache: DataFrame, payloads: dict[str, Column]) -> DataFrame:
+    """``papers`` (with ``title, doi``) with blank DOIs filled and ``doi_provider``.
+
+    A DOI that is given stays (provider given).  For the others the cache (``title_key, doi,
+    provider``) decides, remembered misses too; then the answers in ``payloads``, columns by provider,
+    in order; papers without a title are not looked up (no provider).
+    """
+    parsers = {"crossref": crossref_doi, "openalex": openalex_doi}
+    given, titled = F.trim(T._text("doi")) != "", F.trim(T._text("title")) != ""
+    known = cache.select("title_key", F.col("doi").alias("_doi"), F.col("provider").alias("_who"))
+    found, who = chain([(name, parsers[name](F.col("title"), payload)) for name, payload in payloads.items()])
+    joined = papers.withColumn("title_key", T.title_key("title")).join(known, "title_key", "left")
+    cached = F.col("_who").isNotNull()
+    hit = F.when(F.col("_who") != "miss", F.nullif(F.col("_doi"), F.lit("")))
+    provider = F.when(given, "given").when(~titled, F.lit(None)).when(cached, F.when(hit.isNotNull(), F.col("_who")).otherwise("miss")).otherwise(who)
+    doi = F.when(given, F.trim("doi")).when(titled, F.when(cached, hit).otherwise(found))
+    return joined.withColumns({"doi_provider": provider, "doi": F.coalesce(doi, F.lit(""))}).drop("_doi", "_who", "title_key")
+
+
+def wanted(doi: Column, title: Column, abstract: Column, pdf: Column) -> tuple[Column, Column]:
+    """(DOI to be looked up, abstract to be looked up): an abstract only without a PDF's address."""
+    blank = lambda c: F.trim(T._text(c)) == ""
+    return blank(doi) & ~blank(title), blank(pdf) & blank(abstract)
+
+
+def text_coverage(papers: DataFrame, answers: DataFrame, *keys: str) -> DataFrame:
+    """Papers with DOI, abstract and free text for each of ``keys``; ``answers`` has a PDF's address
+    for each ``id``."""
+    free = answers.where(F.coalesce("pdf_url", F.lit("")) != "").select("id").distinct().withColumn("_free", F.lit(True))
+    some = lambda c: F.count_if(F.trim(T._text(c)) != "").alias(f"with_{c}")
+    told = papers.join(free, "id", "left").withColumn("fetchable", F.coalesce("_free", F.lit(False)))
+    return told.groupBy(*keys).agg(F.count("*").alias("total"), some("doi"), some("abstract"), F.count_if("fetchable").alias("fetchable")).withColumn("fetchable_pct", F.round(F.col("fetchable") * 100.0 / F.col("total"), 1))
+
+
+def paper_urls(sources: DataFrame, papers: DataFrame, favoured: str = "usenix.org") -> DataFrame:
+    """The preferred address of each of the papers that has sources."""
+    return preferred_url(sources.join(papers.select(F.col("id").alias("paper_id")), "paper_id", "left_semi"), favoured=favoured)
+
+
 def open_access(options: list[tuple[str, Column]]) -> Column:
     """Of ordered (provider, url) options the first that is not on the ACM library, else the last."""
     given = F.filter(F.array(*(F.struct(F.lit(n).alias("provider"), u.alias("url")) for n, u in options)), lambda o: F.coalesce(o["url"], F.lit("")) != "")

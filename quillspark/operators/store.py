@@ -73,3 +73,31 @@ def without_section(cache: DataFrame, section: str, known: tuple[str, ...]) -> D
     if section not in known:
         raise ValueError(f"unknown section {section}: one of {', '.join(known)}")
     return cache.where(F.col("section") != section)
+
+
+def sections(cache: DataFrame) -> DataFrame:
+    """``section, entries``: how many entries each section of the cache has."""
+    return cache.groupBy("section").agg(F.count("*").alias("entries"))
+
+
+def cleared(cache: DataFrame, known: tuple[str, ...], section: str | None = None) -> tuple[DataFrame, int]:
+    """The cache without one section, or empty, and how many entries went."""
+    kept = cache.limit(0) if section is None else without_section(cache, section, known)
+    gone = cache if section is None else cache.where(F.col("section") == section)
+    return kept, gone.count()
+
+
+def real_abstract(abstract: Column, provider: Column) -> Column:
+    """Whether a cache entry holds an abstract: not blank, and no remembered miss."""
+    return F.coalesce((T._text(abstract) != "") & ~provider.eqNullSafe(F.lit("miss")), F.lit(False))
+
+
+def load_cache(spark, path: str, known: tuple[str, ...]) -> DataFrame:
+    """``section, key, value`` (JSON) of the JSON files at ``path``, one object of sections to a file.
+
+    A file that is no JSON object and entries that are no objects are passed over.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, string>").alias("top"))
+    parts = whole.select(F.explode("top").alias("section", "body")).where(F.col("section").isin(*known))
+    entries = parts.select("section", F.explode(F.from_json("body", "map<string, string>")).alias("key", "value"))
+    return entries.where(F.trim("value").startswith("{") & F.try_parse_json("value").isNotNull())

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import html, text as T
-from quillspark.operators import classify, enrich, match, metrics, records, resolve, store
+from quillspark.operators import classify, enrich, ledger, match, metrics, records, resolve, store
+from quillspark.sources import writers
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -492,6 +493,144 @@ def abstract_chain(t):
     return t.papers.select("id", who.alias("provider"))
 
 
+@query("""SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'given' WHEN 1 THEN 'crossref' WHEN 2 THEN 'openalex' WHEN 4 THEN CASE WHEN p_size % 2 = 0 THEN 'cached' ELSE 'miss' END ELSE 'miss' END AS provider,
+ CASE p_partkey % 5 WHEN 0 THEN '10.1/Given' WHEN 1 THEN '10.2/' || lower(p_brand) WHEN 2 THEN '10.3/' || lower(p_brand) WHEN 4 THEN CASE WHEN p_size % 2 = 0 THEN '10.4/' || p_partkey ELSE '' END ELSE '' END AS doi FROM part""")
+def doi_resolver(t):
+    """Parts as papers: answers of the first provider fit one in five, of the second one more; the cache knows
+    hits and misses."""
+    kind, name = F.col("p_partkey") % 5, F.concat_ws(" ", "p_name", F.lit("number"), F.col("p_partkey").cast("string"))
+    title = F.when(kind == 1, F.initcap(name)).otherwise("Of quite other matters")
+    first = F.to_json(F.struct(F.struct(F.array(F.struct(F.concat(F.lit("10.2/"), "p_brand").alias("DOI"), F.array(title).alias("title"))).alias("items")).alias("message")))
+    second = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("https://doi.org/10.3/"), "p_brand").alias("doi"), F.when(kind.isin(1, 2), F.upper(name)).otherwise("Nothing alike").alias("title"))).alias("results")))
+    hit = F.col("p_size") % 2 == 0
+    papers = t.part.select(F.col("p_partkey").alias("id"), name.alias("title"), F.when(kind == 0, " 10.1/Given ").alias("doi"), first.alias("first"), second.alias("second"))
+    cache = t.part.where(kind == 4).select(T.title_key(name).alias("title_key"), F.when(hit, F.concat(F.lit("10.4/"), F.col("p_partkey").cast("string"))).otherwise("").alias("doi"), F.when(hit, "cached").otherwise("miss").alias("provider"))
+    found = enrich.resolved_dois(papers, cache, {"crossref": F.col("first"), "openalex": F.col("second")})
+    return found.select("id", F.col("doi_provider").alias("provider"), "doi")
+
+
+@query("""SELECT page_id AS id, page_id % 3 = 0 AND trim(coalesce(url, '')) <> '' AS look_up_doi, page_id % 4 <> 0 AND trim(coalesce(text, '')) = '' AS look_up_abstract
+ FROM pages LEFT JOIN documents ON doc_id = page_id""")
+def selective_enrichment(t):
+    rows = t.pages.join(t.documents, F.col("doc_id") == F.col("page_id"), "left")
+    doi, abstract = enrich.wanted(F.when(F.col("page_id") % 3 != 0, "10.1/x"), F.col("url"), F.col("text"), F.when(F.col("page_id") % 4 == 0, F.col("url")))
+    return rows.select(F.col("page_id").alias("id"), doi.alias("look_up_doi"), abstract.alias("look_up_abstract"))
+
+
+@query("""SELECT lang AS venue, source AS year, count(*) AS total, count(*) FILTER (WHERE quality = 1) AS with_doi, count(*) FILTER (WHERE trim(text) <> '') AS with_abstract,
+ count(*) FILTER (WHERE url <> '') AS fetchable, round(count(*) FILTER (WHERE url <> '') * 100.0::DOUBLE / count(*), 1) AS fetchable_pct
+ FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN pages ON page_id = d.doc_id GROUP BY ALL""")
+def text_coverage(t):
+    good = t.labels.where("quality = 1").select(F.col("doc_id").alias("id"), F.lit("10.1/x").alias("doi"))
+    papers = t.papers.join(good, "id", "left")
+    return enrich.text_coverage(papers, t.pages.select(F.col("page_id").alias("id"), F.col("url").alias("pdf_url")), "venue", "year")
+
+
+@query("""SELECT doc_id AS paper_id, arg_min(url, (CASE WHEN contains(url, '.org') THEN 0 ELSE 1 END) * 1000000000 + page_id) AS url
+ FROM pages JOIN documents ON doc_id = page_id % 40 WHERE trim(url) <> '' GROUP BY 1""")
+def paper_urls(t):
+    return enrich.paper_urls(t.pages.select((F.col("page_id") % 40).alias("paper_id"), "url", F.col("page_id").alias("ord")), t.papers, favoured=".org")
+
+
+def _ledger(t) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events as runs of customers' instances; nations are venues."""
+    runs = t.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("instance_id"), F.col("event_type").alias("stage"), F.lit("completed").alias("status"))
+    instances = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("venue_id"), F.col("c_mktsegment").alias("year"))
+    return runs, instances, t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+
+
+@query("""SELECT event_id AS id, n_name AS venue, c_mktsegment AS year, event_type AS stage, 'completed' AS status
+ FROM events JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey ORDER BY event_id DESC LIMIT 20""")
+def recent_venue_runs(t):
+    return ledger.recent(*_ledger(t))
+
+
+@query("""WITH doomed AS (SELECT event_id, user_id FROM events JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey WHERE n_name = 'NATION_3' AND c_mktsegment = 'BUILDING' AND event_type = 'click'),
+ lost AS (
+  SELECT 'runs' AS "table", count(*) AS removed FROM doomed
+  UNION ALL SELECT 'claims', count(*) FROM lineitem WHERE l_orderkey IN (SELECT event_id FROM doomed)
+  UNION ALL SELECT 'bibtex', count(*) FROM orders WHERE o_custkey IN (SELECT user_id FROM doomed)
+  UNION ALL SELECT 'datasets', count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT event_id FROM doomed))
+ ) SELECT * FROM lost WHERE removed > 0""")
+def prune_cascade(t):
+    """Clicks as the stage that extracts; lines claim parts, orders are citations of customers' papers."""
+    runs, instances, venues = _ledger(t)
+    runs = runs.withColumn("stage", F.when(F.col("stage") == "click", "extract-datasets").otherwise(F.col("stage")))
+    claims = t.lineitem.select(F.col("l_orderkey").alias("run_id"), F.col("l_partkey").alias("dataset_id"))
+    tables = {
+        "runs": runs, "papers": t.customer.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("instance_id")), "predictions": claims.select("run_id"), "claims": claims,
+        "bibtex": t.orders.select(F.col("o_custkey").alias("paper_id")), "datasets": t.part.select(F.col("p_partkey").alias("id")), "texts": t.orders.select(F.col("o_custkey").alias("paper_id")),
+    }
+    gone = ledger.doomed(runs, instances, venues, "nation_3", "BUILDING", "extract-datasets")
+    return ledger.removed(tables, ledger.pruned(tables, gone, "extract-datasets"))
+
+
+@query("""SELECT l_orderkey AS claim, l_linenumber AS line, first_key AS dataset_id FROM lineitem JOIN part ON p_partkey = l_partkey JOIN (SELECT p_name, min(p_partkey) AS first_key FROM part GROUP BY 1) USING (p_name)""")
+def dataset_id_lookup(t):
+    known = t.part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
+    claims = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_orderkey").alias("claim"), F.col("l_linenumber").alias("line"), F.col("p_name").alias("name"))
+    return ledger.with_id(claims, known, ["name"], "id", "dataset_id").select("claim", "line", "dataset_id")
+
+
+@query("""SELECT p_brand AS venue, p_size AS year, CASE WHEN min(p_partkey) < 100 THEN min(p_partkey) END AS old_id, CAST(1 AS BIGINT) AS same FROM part GROUP BY ALL""")
+def get_or_create(t):
+    """Brands and sizes as venues and years; those of the first 100 parts have ids."""
+    keys, rows = ["venue", "year"], t.part.select(F.col("p_brand").alias("venue"), F.col("p_size").alias("year"), "p_partkey")
+    known = rows.where("p_partkey < 100").groupBy(*keys).agg(F.min("p_partkey").alias("id"))
+    out = ledger.get_or_create(known, rows, keys)
+    same = out.groupBy("id").agg(F.count("*").alias("same"))
+    return out.join(same, "id").select(*keys, F.when(F.col("id") < 100, F.col("id")).alias("old_id"), "same")
+
+
+_REGISTRY = ("brand#1", "brand#3")
+
+
+@query("SELECT DISTINCT p_brand AS venue, p_size AS year FROM part ORDER BY lower(p_brand), p_size")
+def venue_years(t):
+    return ledger.venue_years(t.part.select(F.concat(F.lit(" "), "p_brand").alias("venue"), F.col("p_size").alias("year")))
+
+
+@query(f"SELECT DISTINCT p_brand AS venue, p_size AS year, lower(p_brand) IN {_REGISTRY} AS ingestable FROM part")
+def ingestable_venue_years(t):
+    registry = t.region.limit(0).select(F.col("r_name").alias("venue")).unionByName(t.spark.createDataFrame([(v.upper(),) for v in _REGISTRY], "venue string"))
+    good, rest = ledger.ingestable(ledger.venue_years(t.part.select(F.col("p_brand").alias("venue"), F.col("p_size").alias("year"))), registry)
+    return good.withColumn("ingestable", F.lit(True)).unionByName(rest.withColumn("ingestable", F.lit(False)))
+
+
+@query("""SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""")
+def low_pass_papers(t):
+    label = F.when(F.col("quality") == 0, "no").when(F.col("toxic") == 1, F.lit(None)).otherwise("maybe")
+    return classify.to_extract(t.papers, t.labels.select(F.col("doc_id").alias("id"), label.alias("label"))).select("id")
+
+
+@query("""SELECT doc_id AS id, coalesce(text, '') <> '' AND (source IS NULL OR source <> 'web') AS real FROM documents""")
+def real_abstract(t):
+    provider = F.when(F.col("source") == "web", "miss").otherwise(F.col("source"))
+    return t.documents.select(F.col("doc_id").alias("id"), store.real_abstract(F.col("text"), provider).alias("real"))
+
+
+@query("SELECT event_type AS section, count(*) AS entries FROM events WHERE event_type <> 'error' GROUP BY 1")
+def cache_sections(t):
+    cache = t.events.select(F.col("event_type").alias("section"), F.col("event_id").alias("key"))
+    return store.sections(store.without_section(cache, "error", ("error", "click")))
+
+
+@query(r"""SELECT 'Doc ' || doc_id AS "Bibtex Citation Key", CASE WHEN lang <> '' THEN 'doi:' || lang ELSE '' END AS "DOI Version of Key", source AS "Bibtex Citation" FROM documents""")
+def extraction_bibtex(t):
+    key = F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))
+    return writers.extraction_bibtex(t.documents.select(key.alias("bibtex_key"), F.col("lang").alias("doi"), F.col("source").alias("bibtex")))
+
+
+@query(f"""WITH {_DATASETS}, one AS (SELECT name, arg_min(modalities, ord) AS modalities, arg_min(osi_layers, ord) AS osi_layers, arg_min(confidence, ord) AS confidence, count(*) AS n,
+ coalesce(arg_min(key, ord) FILTER (WHERE relationship_type = 'introduced'), arg_min(key, ord)) AS key FROM d GROUP BY name)
+ SELECT name AS "Dataset Name", key AS "Bibtex Citation Key", osi_layers AS "OSI Layer (L1-L7)", modalities AS "Modality(ies)", CASE WHEN confidence > 0.5 THEN 'Y' ELSE 'N' END AS "Availability (Open? Y/N)",
+ '' AS "Availability URL", '' AS "Annotations on Availability", '' AS "Collection Environment", n AS "Number of Papers using Dataset" FROM one""")
+def extraction_datasets(t):
+    none = F.lit(None).cast("string")
+    record = F.struct("name", "relationship_type", F.array("osi_layers").alias("osi_layers"), F.array("modalities").alias("modalities"), (F.col("confidence") > 0.5).alias("availability"), none.alias("availability_url"), none.alias("availability_notes"), none.alias("collection_environment"), F.lit(0).cast("bigint").alias("usage_count"))
+    return writers.extraction_datasets(t.datasets.select("ord", F.col("key").alias("bibtex_key"), F.array(record).alias("datasets")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
