@@ -156,6 +156,42 @@ def fetched(rows: DataFrame, key: str, request: str, fetch: Callable[[list[str]]
     return asked.mapInPandas(run, f"{key} {kind}, payload string")
 
 
+def live(rows: DataFrame, key: str, url: str, head: Callable[[str], int], get: Callable[[str], int]) -> DataFrame:
+    """``key, live``: whether an address answers with a status below 400, asked with ``head``, then with
+    ``get`` if that fails or is refused; one question for each distinct address, blank ones are not live."""
+
+    def status(ask, at):
+        try:
+            return ask(at) < 400
+        except Exception:
+            return False
+
+    asked = rows.select(F.trim(T._text(url)).alias("_at")).where("_at <> ''").distinct()
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame({"_at": f["_at"].to_numpy(), "_ok": [status(head, at) or status(get, at) for at in f["_at"]]})
+
+    told = asked.mapInPandas(run, "_at string, _ok boolean")
+    return rows.withColumn("_at", F.trim(T._text(url))).join(told, "_at", "left").select(key, F.coalesce("_ok", F.lit(False)).alias("live"))
+
+
+def available(rows: DataFrame, key: str, answers: DataFrame) -> DataFrame:
+    """Open access as the address's own answer has it, where it was asked for; else as it was."""
+    return rows.join(answers, key, "left").withColumn("availability", F.coalesce("live", "availability")).drop("live")
+
+
+def citations(papers: DataFrame, key: str, fetch: Callable[[list[str]], Iterable[str | None]]) -> DataFrame:
+    """``papers`` with ``bibtex``: the entry found for the DOI under the paper's own key, else a minimal
+    one.  ``papers`` has ``title, authors, year, venue, doi, bibtex_key``."""
+    asked = papers.withColumn("_doi", F.nullif(F.trim(T._text("doi")), F.lit("")))
+    found = fetched(asked, key, "_doi", fetch).withColumnRenamed("payload", "_entry")
+    entries = asked.select(key, "_doi").join(found, key).where(T._text("_entry").rlike(r"^\s*@")).select("_doi", "_entry")
+    plain = T.minimal_bibtex(F.col("bibtex_key"), F.col("title"), F.col("authors"), F.col("year"), F.col("venue"), F.col("doi"))
+    known = F.when(F.col("_entry").isNotNull(), T.rekey_bibtex(F.trim("_entry"), F.col("bibtex_key")))
+    return asked.join(entries, "_doi", "left").withColumn("bibtex", F.coalesce(known, plain)).drop("_doi", "_entry")
+
+
 def with_retry(call: Callable[[], str], retryable: Callable[[Exception], bool], sleep: Callable[[float], None], tries: int = 5, most: float = 20.0) -> str:
     """Calls again after 1, 2, 4 ... seconds, ``most`` at a time, while the error may pass."""
     for n in range(tries):

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from quillspark.sources import versions
 
 SCHEMA = "claim_id string, run_id string, paper_id bigint, field string, value string, confidence double, created_at timestamp"
 
@@ -20,3 +23,16 @@ def claims_per_window(claims: DataFrame, window: str = "1 hour", late: str = "1
 def first_seen(claims: DataFrame, keys: list[str], late: str = "30 days") -> DataFrame:
     """The first claim of each key; keys are forgotten ``late`` after they were last seen."""
     return claims.withWatermark("created_at", late).dropDuplicatesWithinWatermark(keys)
+
+
+def merged(claims: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, buckets: int = versions.BUCKETS, **trigger) -> StreamingQuery:
+    """Keeps a versioned table current with a stream: of each key the last claim by ``order``.
+
+    A batch that was swapped in before a crash is passed over when the stream resumes, as the table
+    knows the last batch's number.  ``trigger`` is handed on, all that is there at once by default.
+    """
+
+    def change(rows: DataFrame, batch: int) -> None:
+        versions.upsert(rows, path, keys, order, batch, buckets)
+
+    return claims.writeStream.foreachBatch(change).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
