@@ -201,13 +201,24 @@ def label(x: Column | str) -> Column:
     return F.when(value.isin("yes", "no", "maybe"), value).otherwise("maybe")
 
 
+def _flat_object(x: Column | str) -> Column:
+    return F.regexp_extract(_text(x), r"(?s)\{[^{}]*\}", 0)
+
+
 def verdict(x: Column | str) -> Column:
-    """yes, no or unsure from a reply that holds a flat JSON object."""
-    found = F.get_json_object(F.regexp_extract(_text(x), r"(?s)\{[^{}]*\}", 0), "$.match")
+    """yes, no or unsure from a reply that holds a flat JSON object with ``verdict`` (or ``match``)."""
+    found = F.coalesce(F.get_json_object(_flat_object(x), "$.verdict"), F.get_json_object(_flat_object(x), "$.match"))
     value = F.lower(F.trim(F.coalesce(found, F.lit("unsure"))))
     return F.when(value.isin("yes", "no"), value).otherwise("unsure")
 
 
+def verdict_reason(x: Column) -> Column:
+    """The reason that such a reply gives; a null reply is a call that failed."""
+    told = F.coalesce(F.get_json_object(_flat_object(x), "$.reason"), F.lit(""))
+    read = F.get_json_object(_flat_object(x), "$").isNotNull()
+    return F.when(x.isNull(), "LLM call failed; flagging for human review").when(~read, "Could not parse LLM response").otherwise(told)
+
+
 def arxiv_query(title: Column | str, most: int = 8) -> Column:
     words = F.slice(F.regexp_extract_all(_text(title), F.lit(r"[A-Za-z0-9]+"), F.lit(0)), 1, most)
     return F.array_join(F.transform(words, lambda w: F.concat(F.lit("all:"), w)), " AND ")

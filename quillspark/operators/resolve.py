@@ -78,13 +78,20 @@ def without_known(similar: DataFrame, known: DataFrame) -> DataFrame:
 def first_similar(records: DataFrame, known: DataFrame, name_threshold: float = 0.75, combined_threshold: float = 0.70) -> DataFrame:
     """``without_known(similar_pairs(records), known)`` where few names stand in many records.
 
-    The records of two names are read in order up to the first pair that passes.  Pairs whose
+    Two names are compared where lengths of theirs, or of their records' signatures, allow a ratio of
+    the threshold.  Their records are read in order up to the first pair that passes.  Pairs whose
     characters cannot reach the threshold in any order are passed over, and equal strings are
     compared once.
     """
     base = records.select("ord", "name", _keys("keys").alias("keys"), T.record_name("name").alias("short"), T.signature(F.col("name"), F.col("modalities"), F.col("osi_layers")).alias("whole"))
-    names = base.select("name").distinct()
-    ends = names.select(F.col("name").alias("low")).crossJoin(names.select(F.col("name").alias("high"))).where("low <= high")
+
+    def ends_within(column: str, t: float) -> DataFrame:
+        one = base.select("name", F.length(column).alias("n")).distinct()
+        least, most = F.ceil(F.col("n") * t / (2 - t) - 1e-9).cast("int"), F.floor(F.col("n") * (2 - t) / t + 1e-9).cast("int")
+        wide = one.select(F.col("name").alias("low"), F.explode(F.sequence(least, most)).alias("n")).distinct()
+        return wide.join(one.select(F.col("name").alias("high"), "n"), "n").where("low <= high").select("low", "high")
+
+    ends = ends_within("short", name_threshold).unionByName(ends_within("whole", combined_threshold)).distinct()
     seen = known.select(F.least("name_a", "name_b").alias("low"), F.greatest("name_a", "name_b").alias("high"))
     ends = ends.join(seen, ["low", "high"], "left_anti").withColumn("name", F.explode(F.array_distinct(F.array("low", "high"))))
 
@@ -121,10 +128,11 @@ def first_similar(records: DataFrame, known: DataFrame, name_threshold: float =
 
 
 def confirmed(pairs: DataFrame, reply: Column) -> DataFrame:
-    """Pairs after a model's verdict: yes 0.90, unsure 0.70, no dropped."""
+    """Pairs after a model's verdict, with its reason: yes 0.90, unsure 0.70, no dropped."""
     said = pairs.withColumn("_v", T.verdict(reply)).where("_v != 'no'")
     yes = F.col("_v") == "yes"
-    return said.withColumns({"confidence": F.when(yes, 0.90).otherwise(0.70), "method": F.when(yes, "llm_confirmed").otherwise("llm_unsure")}).drop("_v")
+    reason = F.concat(F.lit("LLM "), "_v", F.lit(": "), T.verdict_reason(reply))
+    return said.withColumns({"reason": reason, "confidence": F.when(yes, 0.90).otherwise(0.70), "method": F.when(yes, "llm_confirmed").otherwise("llm_unsure")}).drop("_v")
 
 
 def _cut(df: DataFrame, spark: SparkSession) -> DataFrame:
