@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import flac, html_text, packing, piece_fst, quality, simhash_dedup, substring_dedup, token_counts, topk, warc_audit
+from quillspark.llm import cost_packing, flac, html_text, packing, piece_fst, quality, simhash_dedup, substring_dedup, token_counts, topk, warc_audit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +65,12 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_audit.audit(first, second)
 
 
+def op13_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cost_packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
-    found = [op1_quality_classifier, op2_html_extraction, op3_best_fit_packing, op4_substring_dedup, op5_simhash_dedup, op6_flac_media, op7_exact_topk, op8_token_counts, op9_sentencepiece_fst, op10_warc_fixity]
+    found = [op1_quality_classifier, op2_html_extraction, op3_best_fit_packing, op4_substring_dedup, op5_simhash_dedup, op6_flac_media, op7_exact_topk, op8_token_counts, op9_sentencepiece_fst, op10_warc_fixity, op13_cost_packing]
     return {f.__name__: f for f in found}
 
 
