@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import cost_packing, flac, html_text, packing, piece_fst, quality, simhash_dedup, substring_dedup, token_counts, topk, warc_audit
+from quillspark.llm import asof, cost_packing, flac, html_text, packing, piece_fst, quality, simhash_dedup, substring_dedup, token_counts, topk, warc_audit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,12 +65,16 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_audit.audit(first, second)
 
 
+def op11_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof.clicks_with_orders(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"))
+
+
 def op13_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def queries() -> dict:
-    found = [op1_quality_classifier, op2_html_extraction, op3_best_fit_packing, op4_substring_dedup, op5_simhash_dedup, op6_flac_media, op7_exact_topk, op8_token_counts, op9_sentencepiece_fst, op10_warc_fixity, op13_cost_packing]
+    found = [op1_quality_classifier, op2_html_extraction, op3_best_fit_packing, op4_substring_dedup, op5_simhash_dedup, op6_flac_media, op7_exact_topk, op8_token_counts, op9_sentencepiece_fst, op10_warc_fixity, op11_asof_join, op13_cost_packing]
     return {f.__name__: f for f in found}
 
 
@@ -129,5 +133,37 @@ FROM split LEFT JOIN lost USING (line)
 """
 
 
+# CRC-32 of a number's decimal digits: its polynomial (a fixed value) makes the table of 256 bytes.
+ASOF_SQL = r"""
+WITH bytes AS (
+  SELECT list(list_reduce(list_concat([n], range(8)), lambda c, _: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY n) AS t
+  FROM (SELECT unnest(range(256)) AS n)
+), crc AS (
+  SELECT id, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1]))) AS h
+  FROM (SELECT click_id AS id FROM clicks UNION SELECT sale_id FROM sales), bytes WHERE id IS NOT NULL
+), c AS (
+  SELECT click_id, client_id, CASE WHEN h % 2 = 1 THEN us - us % 3600000000 ELSE us END AS ts_us
+  FROM (SELECT click_id, min(client_id) AS client_id, min(epoch_us(ts)) AS us FROM clicks WHERE click_id IS NOT NULL GROUP BY click_id) JOIN crc ON id = click_id
+), s AS (
+  SELECT sale_id, client_id, priority, h, CAST(floor(100 * total + 0.5) AS BIGINT) AS cents,
+         CASE WHEN h % 2 = 1 THEN epoch_us(sold_at) - epoch_us(sold_at) % 3600000000 ELSE epoch_us(sold_at) END AS at
+  FROM sales LEFT JOIN crc ON id = sale_id
+), orders AS (
+  SELECT sale_id, client_id, priority, cents, at FROM s
+  UNION ALL SELECT -1 - sale_id, client_id, 6 - priority, cents, at FROM s WHERE h % 3 <> 0
+), one AS (
+  SELECT *, count(*) OVER (PARTITION BY client_id, at) AS n,
+         row_number() OVER (PARTITION BY client_id, at ORDER BY priority NULLS LAST, sale_id DESC NULLS LAST) AS place
+  FROM orders WHERE client_id IS NOT NULL AND at IS NOT NULL
+), met AS (
+  SELECT click_id, c.client_id AS client_id, ts_us, sale_id, ts_us - at AS lag_us, cents, n
+  FROM c ASOF LEFT JOIN (SELECT * FROM one WHERE place = 1) o ON c.client_id = o.client_id AND c.ts_us >= o.at
+)
+SELECT click_id, client_id, ts_us, CASE WHEN lag_us <= 864000000000 THEN sale_id END AS sale_id, CASE WHEN lag_us <= 864000000000 THEN lag_us END AS lag_us,
+       CASE WHEN lag_us <= 864000000000 THEN cents END AS total_cents, CAST(CASE WHEN lag_us <= 864000000000 THEN n ELSE 0 END AS BIGINT) AS n_tied FROM met
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": REPEATS_SQL, "op7_exact_topk": TOPK_SQL, "op10_warc_fixity": WARC_SQL}
+    return {"op11_asof_join": ASOF_SQL, "op4_substring_dedup": REPEATS_SQL, "op7_exact_topk": TOPK_SQL, "op10_warc_fixity": WARC_SQL}
