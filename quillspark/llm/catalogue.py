@@ -147,18 +147,18 @@ WITH bytes AS (
   FROM (SELECT click_id, min(client_id) AS client_id, min(epoch_us(ts)) AS us FROM clicks WHERE click_id IS NOT NULL GROUP BY click_id) JOIN crc ON id = click_id
 ), s AS (
   SELECT sale_id, client_id, priority, h, CAST(floor(100 * total + 0.5) AS BIGINT) AS cents,
-         CASE WHEN h % 2 = 1 THEN epoch_us(sold_at) - epoch_us(sold_at) % 3600000000 ELSE epoch_us(sold_at) END AS at
+         CASE WHEN h % 2 = 1 THEN epoch_us(sold_at) - epoch_us(sold_at) % 3600000000 ELSE epoch_us(sold_at) END AS sold
   FROM sales LEFT JOIN crc ON id = sale_id
 ), orders AS (
-  SELECT sale_id, client_id, priority, cents, at FROM s
-  UNION ALL SELECT -1 - sale_id, client_id, 6 - priority, cents, at FROM s WHERE h % 3 <> 0
+  SELECT sale_id, client_id, priority, cents, sold FROM s
+  UNION ALL SELECT -1 - sale_id, client_id, 6 - priority, cents, sold FROM s WHERE h % 3 <> 0
 ), one AS (
-  SELECT *, count(*) OVER (PARTITION BY client_id, at) AS n,
-         row_number() OVER (PARTITION BY client_id, at ORDER BY priority NULLS LAST, sale_id DESC NULLS LAST) AS place
-  FROM orders WHERE client_id IS NOT NULL AND at IS NOT NULL
+  SELECT *, count(*) OVER (PARTITION BY client_id, sold) AS n,
+         row_number() OVER (PARTITION BY client_id, sold ORDER BY priority NULLS LAST, sale_id DESC NULLS LAST) AS place
+  FROM orders WHERE client_id IS NOT NULL AND sold IS NOT NULL
 ), met AS (
-  SELECT click_id, c.client_id AS client_id, ts_us, sale_id, ts_us - at AS lag_us, cents, n
-  FROM c ASOF LEFT JOIN (SELECT * FROM one WHERE place = 1) o ON c.client_id = o.client_id AND c.ts_us >= o.at
+  SELECT click_id, c.client_id AS client_id, ts_us, sale_id, ts_us - sold AS lag_us, cents, n
+  FROM c ASOF LEFT JOIN (SELECT * FROM one WHERE place = 1) o ON c.client_id = o.client_id AND c.ts_us >= o.sold
 )
 SELECT click_id, client_id, ts_us, CASE WHEN lag_us <= 864000000000 THEN sale_id END AS sale_id, CASE WHEN lag_us <= 864000000000 THEN lag_us END AS lag_us,
        CASE WHEN lag_us <= 864000000000 THEN cents END AS total_cents, CAST(CASE WHEN lag_us <= 864000000000 THEN n ELSE 0 END AS BIGINT) AS n_tied FROM met
