@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import asof, cost_packing, flac, html_text, packing, piece_fst, quality, simhash_dedup, substring_dedup, token_counts, topk, warc_audit
+from quillspark.llm import asof, cost_packing, flac, html_text, lexical, packing, piece_fst, quality, simhash_dedup, substring_dedup, token_counts, topk, warc_audit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,12 +69,16 @@ def op11_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.clicks_with_orders(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def queries() -> dict:
-    found = [op1_quality_classifier, op2_html_extraction, op3_best_fit_packing, op4_substring_dedup, op5_simhash_dedup, op6_flac_media, op7_exact_topk, op8_token_counts, op9_sentencepiece_fst, op10_warc_fixity, op11_asof_join, op13_cost_packing]
+    found = [op1_quality_classifier, op2_html_extraction, op3_best_fit_packing, op4_substring_dedup, op5_simhash_dedup, op6_flac_media, op7_exact_topk, op8_token_counts, op9_sentencepiece_fst, op10_warc_fixity, op11_asof_join, op12_lexical_search, op13_cost_packing]
     return {f.__name__: f for f in found}
 
 
@@ -165,5 +169,28 @@ SELECT click_id, client_id, ts_us, CASE WHEN lag_us <= 864000000000 THEN sale_id
 """
 
 
+LEXICAL_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS line,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL
+), i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+), sums AS (
+  SELECT count(*) AS n_all, CAST(sum(len(terms)) AS BIGINT) AS l_all FROM d WHERE len(terms) > 0
+), p AS (
+  SELECT line, doc_id, n, term, count(*) AS tf FROM (SELECT line, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_all + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, sums GROUP BY term, n_all
+), scored AS (
+  SELECT item_id, line, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_all) // l_all)))) AS BIGINT) AS score
+  FROM i JOIN w USING (term) JOIN p USING (term), sums GROUP BY ALL
+)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored WHERE score > 0) WHERE place <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_asof_join": ASOF_SQL, "op4_substring_dedup": REPEATS_SQL, "op7_exact_topk": TOPK_SQL, "op10_warc_fixity": WARC_SQL}
+    return {"op11_asof_join": ASOF_SQL, "op12_lexical_search": LEXICAL_SQL, "op4_substring_dedup": REPEATS_SQL, "op7_exact_topk": TOPK_SQL, "op10_warc_fixity": WARC_SQL}
