@@ -632,8 +632,11 @@ def extraction_datasets(t):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from quillspark.plans import changes  # noqa: F401 (registers its queries)
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillspark.sources import versions
+from quillspark.sources import shared, versions
 
 SCHEMA = "claim_id string, run_id string, paper_id bigint, field string, value string, confidence double, created_at timestamp"
 
@@ -28,11 +30,15 @@ def first_seen(claims: DataFrame, keys: list[str], late: str = "30 days") -> Dat
 def merged(claims: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, buckets: int = versions.BUCKETS, **trigger) -> StreamingQuery:
     """Keeps a versioned table current with a stream: of each key the last claim by ``order``.
 
-    A batch that was swapped in before a crash is passed over when the stream resumes, as the table
-    knows the last batch's number.  ``trigger`` is handed on, all that is there at once by default.
+    A batch that was committed before a crash is passed over when the stream resumes, as the table
+    knows the last batch of each stream.  A stream is known by the id in its checkpoint, so another
+    stream, or the same one with a new checkpoint, counts its own batches.  ``trigger`` is handed on,
+    all that is there at once by default.
     """
+    spark = claims.sparkSession
 
     def change(rows: DataFrame, batch: int) -> None:
-        versions.upsert(rows, path, keys, order, batch, buckets)
+        stream = json.loads(shared.text(spark, f"{checkpoint}/metadata"))["id"]
+        versions.upsert(rows, path, keys, order, batch, buckets, stream)
 
     return claims.writeStream.foreachBatch(change).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
