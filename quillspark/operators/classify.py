@@ -113,17 +113,16 @@ def breakdown(labelled: DataFrame, *keys: str) -> DataFrame:
 
 
 def with_cache(papers: DataFrame, cache: DataFrame, model: Callable[[Column], Column], prompt: Column, provider: str, name: str, refresh: bool = False) -> DataFrame:
-    """Labels by a model: cached replies by content key, others from ``model(prompt)``,
-    which sees the prompts that the cache lacks and no others.
+    """Labels by a model: cached replies by content key, others from ``model(prompt)``, which is asked
+    once for each prompt that the cache lacks, however many papers have it.
 
     ``cache`` has ``key, label, confidence``; ``model`` gives a struct of ``label, confidence``.
     """
     keyed = papers.withColumn("cache_key", T.content_key(F.lit(provider), F.lit(name), prompt)).withColumn("_prompt", prompt)
-    hits = cache.select(F.col("key").alias("cache_key"), F.col("label").alias("_label"), F.col("confidence").alias("_confidence"))
-    joined = keyed.join(hits, "cache_key", "left")
-    known = F.lit(not refresh) & F.col("_label").isNotNull()
-    # a condition around a Python function does not keep it from being called, so rows are parted
-    asked = joined.where(~known).withColumn("_reply", model(F.col("_prompt")))
-    found = joined.where(known).select("*", F.col("_label").alias("label"), F.col("_confidence").alias("confidence"), F.lit(True).alias("cached"))
-    new = asked.select("*", F.col("_reply.label").alias("label"), F.col("_reply.confidence").alias("confidence"), F.lit(False).alias("cached")).drop("_reply")
-    return found.unionByName(new).withColumn("label", T.label(F.col("label"))).drop("_label", "_confidence", "_prompt")
+    hits = cache.where("label IS NOT NULL").select(F.col("key").alias("cache_key"), "label", "confidence")
+    if refresh:
+        hits = hits.limit(0)
+    asked = keyed.groupBy("cache_key").agg(F.any_value("_prompt").alias("_prompt")).join(hits.select("cache_key"), "cache_key", "left_anti")
+    replies = asked.withColumn("_reply", model(F.col("_prompt"))).select("cache_key", "_reply.label", "_reply.confidence", F.lit(False).alias("cached"))
+    side = hits.withColumn("cached", F.lit(True)).unionByName(replies)
+    return keyed.join(side, "cache_key", "left").withColumn("label", T.label(F.col("label"))).drop("_prompt")
