@@ -1,12 +1,22 @@
-"""Ratcliff-Obershelp ratio of two strings, in Arrow batches; Spark has no such expression."""
+"""Ratcliff-Obershelp ratio of two strings, in Arrow batches; Spark has no such expression.
+
+The blocks that the ratio counts are in order in both strings, so it is at most twice the longest
+common subsequence over both lengths.  That is found for many pairs at once, one bit for each
+character, and only pairs that it lets through are compared by the slow rule.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
+
+WIDE = 16  # words of 64 bits; longer strings are taken one pair at a time
+CELLS = 1 << 21
 
 
 @F.arrow_udf(DoubleType())
@@ -23,3 +33,100 @@ def ratio(a: pa.Array, b: pa.Array) -> pa.Array:
         matcher.set_seq1(x)
         out.append(matcher.ratio())
     return pa.array(out, pa.float64())
+
+
+def _one(a: str, b: str) -> int:
+    """The length of the longest common subsequence, a bit of a whole number for each character of a."""
+    at: dict[str, int] = {}
+    for k, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    v = full
+    for c in b:
+        u = v & at.get(c, 0)
+        v = (v + u | v - u) & full
+    return len(a) - v.bit_count()
+
+
+def _many(a: list[str], b: list[str]) -> np.ndarray:
+    pairs, n, m = len(a), np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    w = max(1, -(-int(n.max()) // 64))
+    codes = np.frombuffer("".join(a + b).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters, codes = np.unique(codes, return_inverse=True)
+    masks = np.zeros((pairs, len(letters) + 1, w), np.uint64)
+    row, place = np.repeat(np.arange(pairs), n), np.concatenate([np.arange(k) for k in n])
+    np.add.at(masks, (row, codes[: n.sum()], place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+    other = np.full((pairs, int(m.max())), len(letters))
+    other[np.repeat(np.arange(pairs), m), np.concatenate([np.arange(k) for k in m])] = codes[n.sum() :]
+    v, each = np.full((pairs, w), ~np.uint64(0)), np.arange(pairs)
+    for j in range(other.shape[1]):
+        u = v & masks[each, other[:, j]]
+        total = v + u
+        if w > 1:  # carries go from word to word
+            carry = total < u
+            for k in range(1, w):
+                total[:, k] += carry[:, k - 1]
+                carry[:, k] |= carry[:, k - 1] & (total[:, k] == 0)
+        v = total | v - u
+    # bits above a string's length stay set
+    return w * 64 - np.bitwise_count(v).sum(1).astype(np.int64)
+
+
+def common(a: list[str], b: list[str]) -> np.ndarray:
+    """The lengths of the longest common subsequences of pairs."""
+    out = np.zeros(len(a), np.int64)
+    order = sorted((k for k in range(len(a)) if a[k] and b[k]), key=lambda k: (len(a[k]), len(b[k])))
+    while order:
+        w = -(-len(a[order[0]]) // 64)
+        if w > WIDE:
+            for k in order:
+                out[k] = _one(a[k], b[k])
+            break
+        most = max(1, CELLS // (64 * w))
+        part = [k for k in order[:most] if -(-len(a[k]) // 64) <= 2 * w]
+        out[part] = _many([a[k] for k in part], [b[k] for k in part])
+        order = order[len(part) :]
+    return out
+
+
+def ratios(a: list[str | None], b: list[str | None], threshold: float) -> list[float | None]:
+    """The ratio of each pair that reaches the threshold, else None."""
+    a, b = [x or "" for x in a], [y or "" for y in b]
+    size = np.array([len(x) + len(y) for x, y in zip(a, b)])
+    able = 2 * common(a, b) >= threshold * size - 1e-9
+    out: list[float | None] = [None] * len(a)
+    matcher, last = SequenceMatcher(None), None
+    for k in np.flatnonzero(able & (size > 0)).tolist():
+        if b[k] != last:
+            matcher.set_seq2(b[k])
+            last = b[k]
+        matcher.set_seq1(a[k])
+        score = matcher.ratio()
+        out[k] = score if score >= threshold else None
+    return out
+
+
+def ratio_from(threshold: float):
+    """``ratio`` where it reaches the threshold, else null."""
+
+    @F.arrow_udf(DoubleType())
+    def found(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(ratios(a.to_pylist(), b.to_pylist(), threshold), pa.float64())
+
+    return found
+
+
+def grams(q: int):
+    """Hashes of a string's runs of ``q`` characters, each with the number of its occurrence."""
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def found(a: pa.Array) -> pa.Array:
+        import xxhash
+
+        out = []
+        for x in a.to_pylist():
+            many = Counter((x or "")[k : k + q] for k in range(len(x or "") - q + 1))
+            out.append([xxhash.xxh64_intdigest(f"{k}:{g}".encode("utf-8", "surrogatepass")) - (1 << 63) for g, n in many.items() for k in range(n)])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return found

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions import text as T
+from quillspark.functions import similarity, text as T
 from quillspark.functions.similarity import ratio
 from quillspark.operators.match import pick
 
@@ -79,9 +79,8 @@ def first_similar(records: DataFrame, known: DataFrame, name_threshold: float =
     """``without_known(similar_pairs(records), known)`` where few names stand in many records.
 
     Two names are compared where lengths of theirs, or of their records' signatures, allow a ratio of
-    the threshold.  Their records are read in order up to the first pair that passes.  Pairs whose
-    characters cannot reach the threshold in any order are passed over, and equal strings are
-    compared once.
+    the threshold.  Their records are read in order up to the first pair that passes.  Signatures whose
+    longest common subsequence is too short are passed over, and equal strings are compared once.
     """
     base = records.select("ord", "name", _keys("keys").alias("keys"), T.record_name("name").alias("short"), T.signature(F.col("name"), F.col("modalities"), F.col("osi_layers")).alias("whole"))
 
@@ -100,10 +99,7 @@ def first_similar(records: DataFrame, known: DataFrame, name_threshold: float =
         ords, name, short, whole = (rows[c].tolist() for c in ("ord", "name", "short", "whole"))
         code = {}
         group, paper = np.array([code.setdefault(n, len(code)) for n in name]), np.array([code.setdefault(tuple(k), len(code)) for k in rows["keys"]])
-        count = np.zeros((len(rows), 64), np.int32)  # characters dealt into 64 places bound their matches from above
-        for i, text in enumerate(whole):
-            np.add.at(count[i], [ord(c) % 64 for c in text], 1)
-        size, ratios, out = count.sum(1), {}, []
+        size, ratios, out = np.array([len(text) for text in whole]), {}, []
 
         def ratio_of(x: str, y: str) -> float:
             if (x, y) not in ratios:
@@ -112,7 +108,8 @@ def first_similar(records: DataFrame, known: DataFrame, name_threshold: float =
 
         for i in range(len(rows)):
             met = i + 1 + np.flatnonzero((paper[i + 1 :] != paper[i]) & ((group[i + 1 :] != group[i]) | (key[0] == key[1])))
-            able = 2 * np.minimum(count[met], count[i]).sum(1) >= combined_threshold * (size[met] + size[i]) - 1e-9
+            shared = similarity.common([whole[i]] * len(met), [whole[j] for j in met])
+            able = 2 * shared >= combined_threshold * (size[met] + size[i]) - 1e-9
             for j, may in zip(met.tolist(), able.tolist()):
                 near = ratio_of(short[i], short[j])
                 if near >= name_threshold or may and ratio_of(whole[i], whole[j]) >= combined_threshold:

@@ -184,7 +184,7 @@ def cascade_match(t):
 
 @query()
 def fuzzy_match(t):
-    return match.best_fuzzy(match.fuzzy_pairs(*_sides(t), ["venue"], 0.9))
+    return match.fuzzy_best(*_sides(t), ["venue"], 0.9)
 
 
 @query(rf"""WITH {_PAPERS}, s AS (SELECT title, (id % 100) / 100.0::DOUBLE AS confidence, CASE WHEN id % 10 = 0 THEN 0 ELSE 1 END AS authors FROM papers)
