@@ -106,17 +106,21 @@ def first_similar(records: DataFrame, known: DataFrame, name_threshold: float =
                 ratios[x, y] = SequenceMatcher(None, x, y).ratio()
             return ratios[x, y]
 
-        for i in range(len(rows)):
-            met = i + 1 + np.flatnonzero((paper[i + 1 :] != paper[i]) & ((group[i + 1 :] != group[i]) | (key[0] == key[1])))
-            shared = similarity.common([whole[i]] * len(met), [whole[j] for j in met])
-            able = 2 * shared >= combined_threshold * (size[met] + size[i]) - 1e-9
-            for j, may in zip(met.tolist(), able.tolist()):
-                near = ratio_of(short[i], short[j])
-                if near >= name_threshold or may and ratio_of(whole[i], whole[j]) >= combined_threshold:
-                    out.append((ords[i], ords[j], name[i], name[j], near, ratio_of(whole[i], whole[j])))
+        low, many = 0, 1
+        while low < len(rows) and not out:  # ever more records at once, as most pairs of names are done with the first ones
+            high = min(low + many, len(rows))
+            i, j = np.nonzero(np.arange(len(rows)) > np.arange(low, high)[:, None])
+            i += low
+            met = (paper[i] != paper[j]) & ((group[i] != group[j]) | (key[0] == key[1]))
+            i, j = i[met], j[met]
+            shared = similarity.common([whole[k] for k in i], [whole[k] for k in j])
+            able = 2 * shared >= combined_threshold * (size[i] + size[j]) - 1e-9
+            for k, m, may in zip(i.tolist(), j.tolist(), able.tolist()):
+                near = ratio_of(short[k], short[m])
+                if near >= name_threshold or may and ratio_of(whole[k], whole[m]) >= combined_threshold:
+                    out.append((ords[k], ords[m], name[k], name[m], near, ratio_of(whole[k], whole[m])))
                     break
-            if out:
-                break
+            low, many = high, min(2 * many, 64)
         return pd.DataFrame(out, columns=["ord_a", "ord_b", "name_a", "name_b", "name_ratio", "combined_ratio"])
 
     kind = dict(base.dtypes)["ord"]
