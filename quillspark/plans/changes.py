@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.functions import times
 from quillspark.plans.catalogue import query
 from quillspark.sources import shared, versions
+from quillspark.streaming import lookups
 
 
 @query("""WITH last AS (SELECT client_id, arg_max(op, seq * 10000000 + change_id) AS op, max(seq * 10000000 + change_id) AS ord,
@@ -35,3 +37,18 @@ def versioned_changes(t):
     kinds = {"client": now["clients"].select(*columns), "run": runs}
     first, second = (df.withColumn("kind", F.lit(kind)) for kind, df in kinds.items())
     return first.unionByName(second).select("kind", *columns)
+
+
+@query("""WITH RECURSIVE c AS (SELECT client_id, epoch_us(ts) // 1000 AS t FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL),
+ asks AS (SELECT client_id, min(t) AS t FROM c GROUP BY client_id
+  UNION ALL SELECT a.client_id, min(c.t) FROM asks a JOIN c ON c.client_id = a.client_id AND c.t >= a.t + 2592000000 GROUP BY a.client_id, a.t)
+ SELECT CAST(client_id AS VARCHAR) AS key, t AS "at" FROM asks""")
+def asked_again(t):
+    """Lookups of the clients that click, as a stream whose unanswered questions hold for 30 days: the
+    clicks at which one is asked."""
+    clicks = t.spark.readStream.schema(t.clicks.schema).parquet(f"{t.folder}/click[s].parquet")  # a stream reads a single file by a pattern only
+    at = times.millis(clicks, "ts")
+    events = clicks.select(F.col("client_id").cast("string").alias("key"), at.alias("at"), F.lit("request").alias("kind"), F.lit(None).cast("string").alias("value"))
+    out, mark = shared.new(t.spark, "asked"), shared.new(t.spark, "mark")
+    lookups.written(lookups.remembered(events), out, mark).awaitTermination()
+    return t.spark.read.schema(lookups.OUT).parquet(out).where("action = 'ask'").select("key", "at")
