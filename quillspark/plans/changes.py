@@ -1,11 +1,12 @@
-"""Registered queries of tables that change: commits over several tables, masters kept current."""
+"""Registered queries of tables that change and of lookups: commits over several tables, what is asked and found."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.functions import times
+from quillspark.functions import text as T, times
 from quillspark.plans.catalogue import query
+from quillspark.operators import waterfall
 from quillspark.sources import shared, versions
 from quillspark.streaming import lookups
 
@@ -52,3 +53,28 @@ def asked_again(t):
     out, mark = shared.new(t.spark, "asked"), shared.new(t.spark, "mark")
     lookups.written(lookups.remembered(events), out, mark).awaitTermination()
     return t.spark.read.schema(lookups.OUT).parquet(out).where("action = 'ask'").select("key", "at")
+
+
+@query(r"""WITH p AS (SELECT doc_id AS id, trim(regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '\s+', ' ', 'g')) AS a FROM documents WHERE doc_id IS NOT NULL)
+ SELECT id, CASE WHEN id % 5 = 4 OR length(a) < 40 THEN NULL ELSE a END AS value,
+  CASE WHEN id % 5 = 4 OR length(a) < 40 THEN 'miss' ELSE ['crossref', 'semantic_scholar', 'semantic_scholar', 'arxiv'][id % 5 + 1] END AS provider FROM p""")
+def abstract_waterfall(t):
+    """Abstracts of all documents from recorded answers: a fifth each is known by DOI to one provider or
+    another, by title to a third, and to nobody."""
+    kind = F.col("id") % 5
+    name = F.concat(F.lit("Paper number "), F.col("id").cast("string"))
+    papers = t.papers.where("id IS NOT NULL").select("id", T.squash("title").alias("told"), name.alias("title"), F.when(kind < 2, F.concat(F.lit("10.1/"), F.col("id").cast("string"))).otherwise("").alias("doi"), F.lit("").alias("url"))
+    steps = waterfall.abstract_steps()
+    json = lambda **c: F.to_json(F.struct(*(v.alias(k) for k, v in c.items())))
+    told = F.col("told")
+    payloads = [
+        (0, steps[3], json(message=F.struct(F.concat(F.lit("<jats:p>"), told, F.lit("</jats:p>")).alias("abstract")))),
+        (1, steps[4], json(abstract=told)),
+        (2, steps[5], json(data=F.array(F.struct(F.col("title"), told.alias("abstract"))))),
+        (3, steps[6], F.concat(F.lit("<feed><entry><title>"), F.col("title"), F.lit("</title><summary>"), told, F.lit("</summary></entry></feed>"))),
+    ]
+    recorded = None
+    for n, step, payload in payloads:
+        part = papers.where(kind == n).select(step.request.alias("request"), payload.alias("payload"))
+        recorded = part if recorded is None else recorded.unionByName(part)
+    return waterfall.run(papers.drop("told"), steps, recorded).select("id", "value", "provider")
