@@ -109,7 +109,7 @@ def run(rows: DataFrame, steps: list[Step], answers: Callable[[str], str | None]
         return spark.read.schema(df.schema).parquet(path)
 
     found = []
-    left = rows
+    rows = left = kept(rows, "rows")
     if cache is not None:
         keys = F.array_compact(F.array(F.when(F.trim(T._text("doi")) != "", T.doi_key("doi")), F.when(T.guard_title("title") != "", T.title_key("title"))))
         known = rows.select("id", F.posexplode(keys).alias("n", "key")).join(cache.select("key", "value", "provider"), "key")
@@ -127,7 +127,7 @@ def run(rows: DataFrame, steps: list[Step], answers: Callable[[str], str | None]
         value = F.nullif(F.trim(step.value(F.col("payload"))), F.lit(""))
         have = kept(told.select("id", value.alias("value"), F.lit(step.provider).alias("provider"), "request").where("value IS NOT NULL"), f"{n}-{step.provider}")
         found.append(have)
-        left = left.join(have.select("id"), "id", "left_anti")
+        left = kept(left.join(have.select("id"), "id", "left_anti"), f"{n}-{step.provider}-left")
     none = left.select("id", F.lit(None).cast("string").alias("value"), F.lit(MISS).alias("provider"), F.lit(None).cast("string").alias("request"))
     out = none
     for part in found:

@@ -64,6 +64,7 @@ def abstract_waterfall(t):
     kind = F.col("id") % 5
     name = F.concat(F.lit("Paper number "), F.col("id").cast("string"))
     papers = t.papers.where("id IS NOT NULL").select("id", T.squash("title").alias("told"), name.alias("title"), F.when(kind < 2, F.concat(F.lit("10.1/"), F.col("id").cast("string"))).otherwise("").alias("doi"), F.lit("").alias("url"))
+    papers = shared.save(papers, "papers")
     steps = waterfall.abstract_steps()
     json = lambda **c: F.to_json(F.struct(*(v.alias(k) for k, v in c.items())))
     told = F.col("told")
@@ -77,4 +78,4 @@ def abstract_waterfall(t):
     for n, step, payload in payloads:
         part = papers.where(kind == n).select(step.request.alias("request"), payload.alias("payload"))
         recorded = part if recorded is None else recorded.unionByName(part)
-    return waterfall.run(papers.drop("told"), steps, recorded).select("id", "value", "provider")
+    return waterfall.run(papers.drop("told"), steps, shared.save(recorded, "recorded")).select("id", "value", "provider")
