@@ -116,8 +116,12 @@ def ratio_from(threshold: float):
     return found
 
 
-def grams(q: int):
-    """Hashes of a string's runs of ``q`` characters, each with the number of its occurrence."""
+def grams(q: int, known: np.ndarray | None = None, seen: np.ndarray | None = None):
+    """Hashes of a string's runs of ``q`` characters, each with the number of its occurrence.
+
+    With ``known`` hashes (sorted) and how often each was ``seen``, the rarest come first; other hashes
+    count as seen by none, and equally rare ones are in the order of the hashes.
+    """
 
     @F.arrow_udf(ArrayType(LongType()))
     def found(a: pa.Array) -> pa.Array:
@@ -126,7 +130,11 @@ def grams(q: int):
         out = []
         for x in a.to_pylist():
             many = Counter((x or "")[k : k + q] for k in range(len(x or "") - q + 1))
-            out.append([xxhash.xxh64_intdigest(f"{k}:{g}".encode("utf-8", "surrogatepass")) - (1 << 63) for g, n in many.items() for k in range(n)])
+            own = np.array([xxhash.xxh64_intdigest(f"{k}:{g}".encode("utf-8", "surrogatepass")) - (1 << 63) for g, n in many.items() for k in range(n)], np.int64)
+            if known is not None and len(known):
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                own = own[np.lexsort((own, np.where(known[at] == own, seen[at], 0)))]
+            out.append(own if known is None or len(known) else np.sort(own))
         return pa.array(out, pa.list_(pa.int64()))
 
     return found

@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import similarity
 
 EPS = 1e-9
+COMMON = 50_000
 
 
 def need(size: Column, t: float, q: int) -> Column:
@@ -48,11 +50,12 @@ def band(n: Column, t: float) -> Column:
 
 
 def _ordered(strings: DataFrame, q: int) -> DataFrame:
-    """Each string's tokens, the rarest of all first."""
-    each = strings.select("sid", F.explode(similarity.grams(q)("text")).alias("token"))
-    seen = each.groupBy("token").agg(F.count("*").alias("seen"))
-    found = each.join(seen, "token").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("seen", "token"))).alias("o"))
-    return strings.join(found, "sid").select(*strings.columns, F.transform("o", lambda x: x["token"]).alias("tokens"))
+    """Each string's tokens, the rarest of all first.  The ``COMMON`` commonest are told apart by their
+    counts; the order of the others is any order that all strings share, which is all that it has to be."""
+    each = strings.select(F.explode(similarity.grams(q)("text")).alias("token")).groupBy("token").agg(F.count("*").alias("seen"))
+    top = sorted((r["token"], r["seen"]) for r in each.orderBy(F.desc("seen"), "token").limit(COMMON).collect())
+    known, seen = (np.array(x, np.int64) for x in (zip(*top) if top else ((), ())))
+    return strings.withColumn("tokens", similarity.grams(q, known, seen)("text"))
 
 
 def met(strings: DataFrame, keys: list[str], t: float, q: int, least: int, below: int | None = None) -> DataFrame:
@@ -68,13 +71,15 @@ def met(strings: DataFrame, keys: list[str], t: float, q: int, least: int, below
     first = lambda least: F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.least(size, size - least + 1)).cast("int"))
     shorter = rows if below is None else rows.where(F.col("n") < below)
     a = shorter.withColumn("band", F.explode(F.sequence(band(F.col("n"), t), band(widest, t))))
-    a = a.select(*keys, "band", F.col("sid").alias("low"), F.col("side").alias("side_a"), F.col("n").alias("na"), size.alias("ta"), F.posexplode(first(lowest(2 * n, t, q))).alias("pa", "token"))
-    b = rows.withColumn("band", band(F.col("n"), t)).select(*keys, "band", F.col("sid").alias("high"), F.col("side").alias("side_b"), F.col("n").alias("nb"), size.alias("tb"), F.posexplode(first(lowest(n + F.ceil(n * (t / (2 - t)) - EPS), t, q))).alias("pb", "token"))
+    # of keys that differ and share a hash the pairs are told apart by ``candidates``
+    meet = F.xxhash64(*keys, "band", "token")
+    a = a.select(*keys, "band", F.col("sid").alias("low"), F.col("side").alias("side_a"), F.col("n").alias("na"), size.alias("ta"), F.posexplode(first(lowest(2 * n, t, q))).alias("pa", "token")).withColumn("meet", meet).drop(*keys, "band", "token")
+    b = rows.withColumn("band", band(F.col("n"), t)).select(*keys, "band", F.col("sid").alias("high"), F.col("side").alias("side_b"), F.col("n").alias("nb"), size.alias("tb"), F.posexplode(first(lowest(n + F.ceil(n * (t / (2 - t)) - EPS), t, q))).alias("pb", "token")).withColumn("meet", meet).drop(*keys, "band", "token")
     # of two strings of one length the left one counts as the shorter
     order = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("side_a") < F.col("side_b"))
     room = F.least(F.col("ta") - F.col("pa"), F.col("tb") - F.col("pb"))
     able = (F.col("side_a") != F.col("side_b")) & order & (F.col("nb") <= F.col("na") * ((2 - t) / t) + EPS) & (room >= need(F.col("na") + F.col("nb"), t, q))
-    return a.join(b, [*keys, "band", "token"]).where(able).select("low", "high").distinct()
+    return a.join(b, "meet").where(able).select("low", "high").distinct()
 
 
 def candidates(left: DataFrame, right: DataFrame, keys: list[str], t: float) -> DataFrame:
