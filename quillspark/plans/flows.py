@@ -1,4 +1,4 @@
-"""What a user runs: label papers, see what texts can be had, extract, reconcile; as frames and files.
+"""What a user runs: label papers, see what texts can be had, reconcile; as frames and files.
 
 A flow takes frames and injected callables, and returns frames; it writes where a path is given.
 """
