@@ -632,7 +632,7 @@ def extraction_datasets(t):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quillspark.plans import changes, likeness  # noqa: F401 (register their queries)
+    from quillspark.plans import changes, extracting, likeness  # noqa: F401 (register their queries)
 
     return dict(_queries)
 

@@ -1,4 +1,4 @@
-"""What a user runs: label papers, see what texts can be had, reconcile; as frames and files.
+"""What a user runs: label papers, see what texts can be had, extract data sets, reconcile; as frames and files.
 
 A flow takes frames and injected callables, and returns frames; it writes where a path is given.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import classify, enrich, resolve
+from quillspark.operators import classify, enrich, extraction, records, resolve
 from quillspark.sources import program_pages, readers, writers
 
 NAME, COMBINED = 0.75, 0.70
@@ -97,3 +97,55 @@ def reconcile(
     if sheet:
         writers.consolidated(canonical, sheet)
     return Reconciled(matches, canonical)
+
+
+@dataclass(frozen=True)
+class Extracted:
+    papers: DataFrame
+    datasets: DataFrame
+    rejected: DataFrame
+    asked: DataFrame
+
+
+def extract(
+    papers: DataFrame,
+    cache: DataFrame | None = None,
+    ask: Callable[[Column], Column] | None = None,
+    labels: DataFrame | None = None,
+    live: Callable[[DataFrame], DataFrame] | None = None,
+    entries: DataFrame | None = None,
+    template: str = extraction.PROMPT,
+    folder: str | None = None,
+    slug: str = "extraction",
+    work: str | None = None,
+) -> Extracted:
+    """Data sets of papers from a model's replies, and the three sheets that hold them.
+
+    ``papers`` has ``id`` (unique), ``ord`` (their order), ``title, authors, venue, year, doi, abstract,
+    pdf_text``.  With ``labels`` (``id, label``) papers labelled no are left out.  ``cache`` (``key, reply``) and
+    ``ask`` answer prompts; ``asked`` is what the cache lacked.  ``live`` maps ``url`` rows to ``url, live`` and
+    says whether an address answers, in the place of what the paper says.  ``entries`` (``id, bibtex``) are
+    citations that were found; others are made.  With ``folder`` sheets are written there.  ``work`` is a
+    folder that a run which starts again continues from.
+    """
+    chosen = papers if labels is None else classify.to_extract(papers, labels)
+    told, asked = extraction.replies(chosen, extraction.attempts(template), cache, ask, work)
+    names = extraction.addresses(extraction.datasets(told))
+    if live is not None:
+        answers = live(names.where("availability_url <> ''").select(F.col("availability_url").alias("url")).distinct())
+        known = answers.groupBy(F.col("url").alias("availability_url")).agg(F.max("live").alias("live"))
+        names = names.join(known, "availability_url", "left").withColumn("availability", F.when(F.col("availability_url") != "", F.coalesce("live", F.lit(False))).otherwise(F.col("availability"))).drop("live")
+    facts = chosen.select("id", "ord", "title", "authors", "venue", "year", "doi", T.bibtex_key(F.col("authors"), F.col("year"), F.col("title")).alias("bibtex_key"))
+    counted = records.usage_counts(names.join(facts.select("id", T._text(F.col("venue").cast("string")).alias("venue"), T._text(F.col("year").cast("string")).alias("year")), "id"))
+    fields = [c for c in names.columns if c not in ("id", "place")]
+    listed = counted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", *fields, "usage_count"))).alias("datasets"))
+    none = F.array().cast(dict(listed.dtypes)["datasets"])
+    cited = T.minimal_bibtex(F.col("bibtex_key"), F.col("title"), F.col("authors"), F.col("year"), F.col("venue"), F.col("doi"))
+    if entries is not None:
+        found = entries.where(T._text("bibtex").rlike(r"^\s*@")).groupBy("id").agg(F.min("bibtex").alias("_entry"))
+        facts = facts.join(found, "id", "left")
+        cited = F.coalesce(F.when(F.col("_entry").isNotNull(), T.rekey_bibtex(F.trim("_entry"), F.col("bibtex_key"))), cited)
+    whole = facts.withColumn("bibtex", cited).join(told.select("id", "extraction_source", "error"), "id", "left").join(listed, "id", "left").withColumn("datasets", F.coalesce("datasets", none)).drop("_entry")
+    if folder:
+        writers.extraction(whole, folder, slug)
+    return Extracted(whole, names, extraction.quarantine(told), asked)
