@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import extraction
+from quillspark.operators import extraction, master
 from quillspark.plans import flows
 from quillspark.plans.catalogue import Tables, query
 from quillspark.sources import shared, writers
@@ -68,3 +68,22 @@ def extraction_attempts(t):
     lost = done.rejected.groupBy("id").agg(F.count("*").alias("rejected"))
     names = F.array_join(F.transform("datasets", lambda d: d["name"]), "; ")
     return done.papers.join(lost, "id", "left").select("id", "extraction_source", "error", names.alias("names"), F.coalesce("rejected", F.lit(0).cast("bigint")).alias("rejected"))
+
+
+_NORM = r"regexp_replace(regexp_replace(lower(trim(name)), '[- ]+(dataset|traces|measurements|data|evaluation)s?$', ''), '\s+', ' ', 'g')"
+
+
+@query(rf"""WITH p AS (SELECT p_brand AS run, p_size AS paper, p_partkey AS ord, CASE WHEN p_brand LIKE '%1' AND p_partkey % 3 = 0 THEN p_name || ' traces' ELSE p_name END AS name,
+   CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_brand || p_partkey END AS key FROM part WHERE p_brand NOT LIKE '%5' AND NOT (p_brand LIKE '%1' AND p_partkey % 2 = 1) AND trim(p_name) <> '')
+ SELECT first(name ORDER BY run, ord) AS name, coalesce(first(key ORDER BY run, ord) FILTER (WHERE key <> ''), '') AS key, CAST(sum(paper) AS BIGINT) AS summed, count(DISTINCT (run, paper)) AS papers
+ FROM p GROUP BY {_NORM} HAVING count(DISTINCT (run, paper)) >= 2""")
+def master_incremental(t):
+    """Parts as data sets of brands' runs: all are put in, then some runs are made again and some dropped; the list
+    of what two papers or more have."""
+    key = F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.concat("p_brand", F.col("p_partkey").cast("string")))
+    first = t.part.where("p_brand IS NOT NULL").select(F.col("p_brand").alias("run"), F.col("p_size").alias("paper"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), key.alias("key"), F.col("p_size").cast("string").alias("number"))
+    path = shared.new(t.spark, "master")
+    master.replace(t.spark, path, first.select("run"), first, first)
+    again = first.where("run LIKE '%1' AND ord % 2 = 0").withColumn("name", F.when(F.col("ord") % 3 == 0, F.concat("name", F.lit(" traces"))).otherwise(F.col("name")))
+    master.replace(t.spark, path, first.where("run LIKE '%1' OR run LIKE '%5'").select("run"), again, again)
+    return master.merged(t.spark, path, 2)
