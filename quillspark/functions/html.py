@@ -60,16 +60,19 @@ class _Reader(HTMLParser):
         return {"text": "\n".join(x for x in lines if x), "links": self.links}
 
 
+def read(source: str | None, base: str | None) -> dict:
+    """``text`` and ``links`` of a page; none of a null one."""
+    reader = _Reader(base or "")
+    reader.feed(source or "")
+    return reader.finish()
+
+
 LINK = StructType().add("text", StringType()).add("url", StringType())
 KIND = StructType().add("text", StringType()).add("links", ArrayType(LINK))
 
 
 @F.arrow_udf(KIND)
 def clean(page: pa.Array, base: pa.Array) -> pa.Array:
-    out = []
-    for source, url in zip(page.to_pylist(), base.to_pylist()):
-        reader = _Reader(url or "")
-        reader.feed(source or "")
-        out.append(reader.finish())
+    out = [read(source, url) for source, url in zip(page.to_pylist(), base.to_pylist())]
     link = pa.struct([("text", pa.string()), ("url", pa.string())])
     return pa.array(out, pa.struct([("text", pa.string()), ("links", pa.list_(link))]))

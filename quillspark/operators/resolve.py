@@ -25,12 +25,17 @@ def _keys(c: str) -> Column:
     return F.array_sort(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))))
 
 
-def url_pairs(records: DataFrame) -> DataFrame:
-    """Pairs of records that share a link or DOI and not all papers; one for each pair of names."""
+def _links(records: DataFrame) -> DataFrame:
+    """``ord, name, keys, url`` for each record and link or DOI of it."""
     doi = F.lower(F.trim(F.coalesce(F.col("doi"), F.lit(""))))
     links = F.transform(T.urls(F.coalesce("availability_url", F.lit("")), F.coalesce("availability_notes", F.lit(""))), T.normalize_url)
     every = F.concat(F.filter(links, lambda u: u != ""), F.when(doi != "", F.array(F.concat(F.lit("doi:"), doi))).otherwise(F.array().cast("array<string>")))
-    at = records.select("ord", "name", _keys("keys").alias("keys"), F.explode(F.array_distinct(every)).alias("url"))
+    return records.select("ord", "name", _keys("keys").alias("keys"), F.explode(F.array_distinct(every)).alias("url"))
+
+
+def url_pairs(records: DataFrame) -> DataFrame:
+    """Pairs of records that share a link or DOI and not all papers; one for each pair of names."""
+    at = _links(records)
     # the first record of a name, and its first one with other papers, hold the first pair with any other name
     firsts = at.groupBy("url", "name", "keys").agg(F.min("ord").alias("ord"))
     few = firsts.withColumn("n", F.row_number().over(Window.partitionBy("url", "name").orderBy("ord"))).where("n <= 2")
@@ -41,6 +46,19 @@ def url_pairs(records: DataFrame) -> DataFrame:
     return one.select("ord_a", "ord_b", "name_a", "name_b", F.lit(0.95).alias("confidence"), F.concat(F.lit("shared URL: "), "url").alias("reason"), F.lit("url_dedup").alias("method"))
 
 
+def url_star(records: DataFrame) -> DataFrame:
+    """``name_a, name_b, confidence``: names joined as by ``url_pairs``, by one edge a name and link.
+
+    Where a link's records have two sets of papers or more, each record is paired with those of the other
+    sets, so all its names hang together and an edge from the least name to each other one says as much.
+    Null names take no part; a name is no edge with itself.
+    """
+    at = _links(records).where("name IS NOT NULL").groupBy("url", "name").agg(F.min("keys").alias("low"), F.max("keys").alias("high"))
+    least = at.groupBy("url").agg(F.min("name").alias("name_a"), F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1 AND low <> high").select("url", "name_a")
+    edges = at.select("url", F.col("name").alias("name_b")).join(least, "url").where("name_a <> name_b").select("name_a", "name_b")
+    return edges.distinct().withColumn("confidence", F.lit(0.95))
+
+
 def _flagged(pairs: DataFrame) -> DataFrame:
     best = F.round(F.greatest("name_ratio", "combined_ratio") * 0.8, 3)
     reason = F.format_string("name=%.2f combined=%.2f", "name_ratio", "combined_ratio")
@@ -145,17 +163,18 @@ def _cut(df: DataFrame, spark: SparkSession) -> DataFrame:
     return df.checkpoint()
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``name, root`` for the names of ``a, b`` edges: root is the least name of the component.
 
     Labels spread along edges and jump to their label's label, so rounds grow with the logarithm
-    of a component's diameter; lineage is cut by checkpoint() in each.
+    of a component's diameter; lineage is cut by checkpoint() in each.  They end when no label changes,
+    as one can only fall.  Edges with a null end count for nothing.
     """
     spark = edges.sparkSession
     both = _cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), spark)
     labels = both.groupBy(F.col("a").alias("name")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
     labels = _cut(labels, spark)
-    for _ in range(most_rounds):
+    while True:
         seen = both.join(labels.select(F.col("name").alias("b"), F.col("root").alias("near")), "b").groupBy(F.col("a").alias("name")).agg(F.min("near").alias("near"))
         step = labels.join(seen, "name").select("name", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = step.select(F.col("name").alias("root"), F.col("root").alias("far"))
@@ -163,7 +182,6 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         labels = after.select("name", "root")
         if after.where("old != root").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def consolidate(records: DataFrame, matches: DataFrame, merge_from: float = MERGE_FROM) -> DataFrame:

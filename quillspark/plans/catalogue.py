@@ -293,7 +293,7 @@ _EDGES = rf"""{_DATASETS}, l AS (SELECT *, split_part(name, ' ', 1) AS url FROM
 
 @query(rf"WITH {_EDGES} SELECT name, root FROM root")
 def components(t):
-    pairs = resolve.url_pairs(_linked(t))
+    pairs = resolve.url_star(_linked(t))
     found = resolve.components(pairs.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")))
     names = t.datasets.select("name").distinct()
     return names.join(found, "name", "left").select("name", F.coalesce("root", "name").alias("root"))
@@ -302,7 +302,7 @@ def components(t):
 @query(rf"""WITH {_EDGES} SELECT (list(DISTINCT name ORDER BY length(name) DESC, name))[1] AS canonical_name, count(DISTINCT key) AS reuse_count, count(DISTINCT name) AS names,
  arg_max(modalities, length(modalities) * 1000000000 - ord) AS modalities, array_to_string(list(DISTINCT osi_layers ORDER BY osi_layers), ', ') AS osi_layers FROM d JOIN root USING (name) GROUP BY root""")
 def consolidate(t):
-    out = resolve.consolidate(_linked(t), resolve.url_pairs(_linked(t)))
+    out = resolve.consolidate(_linked(t), resolve.url_star(_linked(t)))
     return out.select("canonical_name", "reuse_count", F.size("all_names").cast("bigint").alias("names"), "modalities", "osi_layers")
 
 
@@ -632,7 +632,7 @@ def extraction_datasets(t):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quillspark.plans import changes, extracting, likeness  # noqa: F401 (register their queries)
+    from quillspark.plans import changes, extracting, likeness, sql  # noqa: F401 (register their queries)
 
     return dict(_queries)
 

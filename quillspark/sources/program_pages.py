@@ -1,16 +1,20 @@
 """Papers of conference program pages: session headings, then title, authors, abstract.
 
-What a line is depends on the lines after it, so a page is read as a whole, in Arrow batches.
+What a line is depends on the lines after it, so a page is read as a whole, in Arrow batches.  ``read`` takes
+a table of pages; ``ProgramPapers`` is a table function for SQL, called by lateral join.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from quillspark.functions import html
 
@@ -70,3 +74,42 @@ def read(pages: DataFrame) -> DataFrame:
 
     clean = pages.select("page_id", html.clean("html", F.coalesce("url", F.lit(""))).alias("c"))
     return clean.select("page_id", F.col("c.text").alias("text"), F.transform("c.links", lambda x: x["url"]).alias("links")).mapInPandas(run, KIND)
+
+
+_TYPES = {"string": StringType(), "int": IntegerType(), "double": DoubleType()}
+FIELDS = StructType([StructField(name, _TYPES[kind]) for name, kind in map(str.split, KIND.split(", ")[1:])])
+
+
+@dataclass
+class _Chosen(AnalyzeResult):
+    fields: tuple[str, ...] = ()
+
+
+class ProgramPapers:
+    """``program_papers(html, base, fields)``: a row for each paper of a page, with the constant list
+    ``fields`` (``'title, doi'``) only those columns, in that order.
+
+    A null page, or one without papers, has no rows; a null base leaves relative links as they are.
+    """
+
+    def __init__(self, chosen: _Chosen):
+        self.fields = chosen.fields
+
+    @staticmethod
+    def analyze(page: AnalyzeArgument, base: AnalyzeArgument | None = None, fields: AnalyzeArgument | None = None) -> AnalyzeResult:
+        for name, argument in (("page", page), ("base", base), ("fields", fields)):
+            if argument is not None and argument.dataType.typeName() not in ("string", "void"):
+                raise ValueError(f"program_papers: {name} must be a string, not {argument.dataType.simpleString()}")
+        names = FIELDS.names
+        if fields is not None:
+            if not fields.isConstantExpression or not fields.value:
+                raise ValueError("program_papers: fields must be a constant list of columns")
+            names = [x.strip() for x in fields.value.split(",")]
+            if unknown := [x for x in names if x not in FIELDS.names]:
+                raise ValueError(f"program_papers: no such column: {', '.join(unknown)}; there are {', '.join(FIELDS.names)}")
+        return _Chosen(schema=StructType([FIELDS[x] for x in names]), fields=tuple(names))
+
+    def eval(self, page: str | None, base: str | None = None, fields: str | None = None) -> Iterator[tuple]:
+        read = html.read(page, base)
+        for n, paper in enumerate(papers(read["text"], [x["url"] for x in read["links"]])):
+            yield tuple({"ord": n, **paper}[x] for x in self.fields)
