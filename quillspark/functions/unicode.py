@@ -63,7 +63,7 @@ def _classes() -> str:
     return "".join(chr(p) + chr(unicodedata.combining(chr(p))) for p in _points() if unicodedata.combining(chr(p)))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed, and kept in the plan, once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -80,7 +80,7 @@ def _decomposed(c: Column) -> Column:
     # from_code is a decoding of UTF-16, as Spark has no such function beyond one byte
     char = lambda base, k: F.decode(F.unhex(F.lpad(F.hex(k + base), 4, "0")), "UTF-16BE")
     syllable = F.concat(char(LEADS, lead), char(VOWELS, vowel), F.when(tail > 0, char(TAILS, tail)).otherwise(""))
-    return F.when(code < 0xA0, c).when((n >= 0) & (n < COUNT), syllable).otherwise(_let(F.get(table, place), lambda d: F.when(d != "", d).otherwise(c)))
+    return F.when(code < 0xA0, c).when((n >= 0) & (n < COUNT), syllable).otherwise(let(F.get(table, place), lambda d: F.when(d != "", d).otherwise(c)))
 
 
 def _ordered(x: Column) -> Column:
@@ -98,7 +98,7 @@ def nfkd(x: Column | str) -> Column:
     """A text's compatibility decomposition; null stays null."""
     x = F.col(x) if isinstance(x, str) else x
     apart = F.array_join(F.transform(F.split(x, ""), _decomposed), "")
-    return F.when(x.rlike(r"[^\x00-\x9f]"), _let(apart, _ordered)).otherwise(x)
+    return F.when(x.rlike(r"[^\x00-\x9f]"), let(apart, _ordered)).otherwise(x)
 
 
 def unmarked(x: Column | str) -> Column:

@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.unicode import let
+
 
 def ratio(x: Column, of: Column) -> Column:
     """x / of, 0 where ``of`` is 0."""
     return F.when(of == 0, 0.0).otherwise(x.cast("double") / F.nullif(of, F.lit(0)))
 
 
+def jaccard(a: Column, b: Column) -> Column:
+    """Shared entries over all entries of two arrays without repeats, each built once; 0 for two empty ones."""
+
+    def of(both: Column) -> Column:
+        shared = F.size(F.array_intersect(both["a"], both["b"]))
+        return ratio(shared, F.size(both["a"]) + F.size(both["b"]) - shared)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), of)
+
+
 def with_scores(counts: DataFrame, scope_to_universe: bool = False) -> DataFrame:
     """Adds jaccard, precision, recall and f1, to four digits, to ``tp, fp, fn`` counts."""
     tp, fp = F.col("tp"), F.col("fp")

@@ -429,7 +429,7 @@ def record_filter(t):
  SELECT id, coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 0.0) AS jaccard FROM w""")
 def set_jaccard(t):
     a, b = T.tokens(T.guard_title("title")), T.tokens(T.guard_title(F.coalesce("abstract", F.lit(""))))
-    return t.papers.select("id", metrics.ratio(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))).alias("jaccard"))
+    return t.papers.select("id", metrics.jaccard(a, b).alias("jaccard"))
 
 
 @query("""SELECT source, count(*) AS total, CAST(count_if(m AND p) AS BIGINT) AS "both", CAST(count_if(m AND NOT p) AS BIGINT) AS manual_only, CAST(count_if(NOT m AND p) AS BIGINT) AS pipeline_only, CAST(count_if(NOT m AND NOT p) AS BIGINT) AS neither,

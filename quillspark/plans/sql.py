@@ -29,7 +29,7 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("ratio", similarity.ratio)
     spark.udf.register("html_clean", html.clean)
     spark.udf.register("nfkd", _nfkd)
-    spark.udtf.register("program_papers", F.udtf(program_pages.ProgramPapers, useArrow=True))
+    spark.udtf.register("program_papers", F.udtf(program_pages.ProgramPapers))
 
 
 _SPACES = r"[\x00-\x20\x7f-\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
