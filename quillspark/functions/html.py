@@ -73,6 +73,6 @@ KIND = StructType().add("text", StringType()).add("links", ArrayType(LINK))
 
 @F.arrow_udf(KIND)
 def clean(page: pa.Array, base: pa.Array) -> pa.Array:
-    out = [read(source, url) for source, url in zip(page.to_pylist(), base.to_pylist())]
+    out = [read(source, url) for source, url in ((p.as_py(), b.as_py()) for p, b in zip(page, base))]
     link = pa.struct([("text", pa.string()), ("url", pa.string())])
     return pa.array(out, pa.struct([("text", pa.string()), ("links", pa.list_(link))]))

@@ -53,7 +53,7 @@ def program_papers(t):
     """Papers of a program page for each document, by SQL alone: lateral join with the table function."""
     register(t.spark)
     return t.spark.sql(
-        """SELECT p.doc_id, s.ord, nfkd(s.title) AS title, ratio(s.title, nfkd(s.title)) AS likeness, s.session, s.doi, md5(s.abstract) AS abstract_md5,
+        """SELECT p.doc_id, s.ord, nfkd(s.title) AS title, ratio(s.title, concat('figure ', p.doc_id)) AS likeness, s.session, s.doi, md5(s.abstract) AS abstract_md5,
            CAST(size(html_clean(p.html, 'https://h.org/').links) AS BIGINT) AS links
            FROM {programs} p, LATERAL program_papers(p.html, 'https://h.org/', fields => 'ord, title, session, doi, abstract') s""",
         programs=programs(t.documents),

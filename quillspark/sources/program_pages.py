@@ -10,9 +10,8 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
@@ -63,17 +62,26 @@ def papers(text: str, links: list[str]) -> Iterator[dict]:
         at = end
 
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+_SCHEMA = pa.schema([(name, _ARROW[kind]) for name, kind in map(str.split, KIND.split(", "))])
+
+
+def _of_page(page: str | None, base: str | None) -> Iterator[dict]:
+    clean = html.read(page, base)
+    for n, paper in enumerate(papers(clean["text"], [x["url"] for x in clean["links"]])):
+        yield {"ord": n, **paper}
+
+
 def read(pages: DataFrame) -> DataFrame:
-    """Papers of ``page_id, url, html`` rows, in page order."""
+    """Papers of ``page_id, url, html`` rows, in page order; none of a null page."""
 
-    def run(frames):
-        names = [x.split()[0] for x in KIND.split(", ")]
-        for f in frames:
-            rows = [{"page_id": i, "ord": n, **p} for i, text, links in zip(f["page_id"], f["text"], f["links"]) for n, p in enumerate(papers(text, list(links)))]
-            yield pd.DataFrame(rows, columns=names)
+    def run(batches):
+        for batch in batches:
+            ids, urls, sources = (batch.column(c) for c in ("page_id", "url", "html"))
+            rows = [{"page_id": i.as_py(), **p} for i, u, h in zip(ids, urls, sources) for p in _of_page(h.as_py(), u.as_py())]
+            yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
-    clean = pages.select("page_id", html.clean("html", F.coalesce("url", F.lit(""))).alias("c"))
-    return clean.select("page_id", F.col("c.text").alias("text"), F.transform("c.links", lambda x: x["url"]).alias("links")).mapInPandas(run, KIND)
+    return pages.selectExpr("CAST(page_id AS BIGINT) AS page_id", "CAST(url AS STRING) AS url", "html").mapInArrow(run, KIND)
 
 
 _TYPES = {"string": StringType(), "int": IntegerType(), "double": DoubleType()}
@@ -110,6 +118,5 @@ class ProgramPapers:
         return _Chosen(schema=StructType([FIELDS[x] for x in names]), fields=tuple(names))
 
     def eval(self, page: str | None, base: str | None = None, fields: str | None = None) -> Iterator[tuple]:
-        read = html.read(page, base)
-        for n, paper in enumerate(papers(read["text"], [x["url"] for x in read["links"]])):
-            yield tuple({"ord": n, **paper}[x] for x in self.fields)
+        for paper in _of_page(page, base):
+            yield tuple(paper[x] for x in self.fields)
