@@ -1,11 +1,14 @@
-"""Pairs of strings whose ratio reaches a threshold, found by the characters that they share.
+"""Pairs of strings whose ratio reaches a threshold, found by bounds on the characters that they share.
 
 With a ratio of t or more, two strings of n and m characters share M >= t (n + m) / 2 of them in
-order, in at most n + m - 2 M + 1 runs.  So they share at least M - (q - 1) (n + m - 2 M + 1) runs of
-q characters, counted with repeats: tokens are such runs with the number of their occurrence.  In one
-order of all tokens, rarest first, two strings that share that many share one of the first few of
-both.  Only strings that meet so are compared: a join on key, token and a band of lengths, which
-parts the strings of a common token; where the token's places leave too few behind them the pair goes.
+order, in at most n + m - 2 M + 1 runs.  Where the ratio is difflib's and the second string has 200
+characters or more, each run but one at both starts holds a character that is not popular in it, which
+bounds the runs too.  So they share at least M - (q - 1) runs' number of pieces of q characters, with
+repeats, and counts of pieces by their hashes differ by no more than the rest.
+
+Strings meet in cells of equal keys and near lengths.  A large cell is dealt into parts, and each part
+of one side meets each of the other in a task.  Counts are compared for many pairs at once, then the
+longest common subsequences of the pairs that they let through.  Nothing but plans reaches the driver.
 """
 
 from __future__ import annotations
@@ -13,24 +16,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import similarity
 
 EPS = 1e-9
-COMMON = 50_000
-
-
-def need(size: Column, t: float, q: int) -> Column:
-    """Tokens that two strings of ``size`` characters together share at least, if their ratio reaches t."""
-    shared = F.ceil(size * (t / 2) - EPS)
-    return shared - (q - 1) * (size - 2 * shared + 1)
-
-
-def lowest(size: Column, t: float, q: int) -> Column:
-    """What strings of ``size`` characters or more share at least, t above ``least_of(q)``."""
-    return F.ceil(size * ((2 * q - 1) * t / 2 - (q - 1)) - (q - 1) - EPS)
+PART, CHARS, BLOCK = 8192, 1 << 23, 1 << 15
+RUN = 6
 
 
 def least_of(q: int) -> float:
@@ -49,58 +43,121 @@ def band(n: Column, t: float) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log((2 - t) / t) + EPS).cast("int") if t < 1 else n.cast("int")
 
 
-def _ordered(strings: DataFrame, q: int) -> DataFrame:
-    """Each string's tokens, the rarest of all first.  The ``COMMON`` commonest are told apart by their
-    counts; the order of the others is any order that all strings share, which is all that it has to be."""
-    each = strings.select(F.explode(similarity.grams(q)("text")).alias("token")).groupBy("token").agg(F.count("*").alias("seen"))
-    top = sorted((r["token"], r["seen"]) for r in each.orderBy(F.desc("seen"), "token").limit(COMMON).collect())
-    known, seen = (np.array(x, np.int64) for x in (zip(*top) if top else ((), ())))
-    return strings.withColumn("tokens", similarity.grams(q, known, seen)("text"))
-
-
-def met(strings: DataFrame, keys: list[str], t: float, q: int, least: int, below: int | None = None) -> DataFrame:
-    """``low, high``: pairs of strings (numbers) that may reach t, the shorter one (below ``below``, from
-    ``least`` characters on) first.
-
-    ``strings`` has ``keys, sid, side, text, n``; the two strings of a pair are of different sides.
-    """
-    rows = _ordered(strings.where(F.col("n") >= least), q)
-    n = F.col("n").cast("double")
-    widest = F.floor(n * ((2 - t) / t) + EPS)
-    size = F.size("tokens")
-    first = lambda least: F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.least(size, size - least + 1)).cast("int"))
-    shorter = rows if below is None else rows.where(F.col("n") < below)
-    a = shorter.withColumn("band", F.explode(F.sequence(band(F.col("n"), t), band(widest, t))))
-    # of keys that differ and share a hash the pairs are told apart by ``candidates``
-    meet = F.xxhash64(*keys, "band", "token")
-    a = a.select(*keys, "band", F.col("sid").alias("low"), F.col("side").alias("side_a"), F.col("n").alias("na"), size.alias("ta"), F.posexplode(first(lowest(2 * n, t, q))).alias("pa", "token")).withColumn("meet", meet).drop(*keys, "band", "token")
-    b = rows.withColumn("band", band(F.col("n"), t)).select(*keys, "band", F.col("sid").alias("high"), F.col("side").alias("side_b"), F.col("n").alias("nb"), size.alias("tb"), F.posexplode(first(lowest(n + F.ceil(n * (t / (2 - t)) - EPS), t, q))).alias("pb", "token")).withColumn("meet", meet).drop(*keys, "band", "token")
-    # of two strings of one length the left one counts as the shorter
-    order = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("side_a") < F.col("side_b"))
-    room = F.least(F.col("ta") - F.col("pa"), F.col("tb") - F.col("pb"))
-    able = (F.col("side_a") != F.col("side_b")) & order & (F.col("nb") <= F.col("na") * ((2 - t) / t) + EPS) & (room >= need(F.col("na") + F.col("nb"), t, q))
-    return a.join(b, "meet").where(able).select("low", "high").distinct()
-
-
-def candidates(left: DataFrame, right: DataFrame, keys: list[str], t: float) -> DataFrame:
-    """``keys, left, right``: pairs of different strings of two tables within equal keys that may reach t.
+def _pieces(texts: list[np.ndarray], q: int, bins: int) -> np.ndarray:
+    """The counts, modulo 256, of hashes of each text's pieces of q characters; circular differences of
+    such counts are no larger than the true ones."""
+    out = np.zeros((len(texts), bins), np.uint8)
+    for k, codes in enumerate(texts):
+        if len(codes) >= q:
+            own = codes[: len(codes) - q + 1].astype(np.uint64)
+            for d in range(1, q):
+                own = own * np.uint64(0x100000001B3) + codes[d : len(codes) - q + 1 + d]
+            mixed = (own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) if q > 1 else own
+            out[k] = np.bincount((mixed % np.uint64(bins)).astype(np.int64), minlength=bins).astype(np.uint8)
+    return out
+
+
+def _anchors(codes: np.ndarray) -> int:
+    """How many characters difflib does not take for popular; all of a short text."""
+    if len(codes) < 200:
+        return len(codes)
+    many = np.unique(codes, return_counts=True)[1]
+    return int(many[many <= len(codes) // 100 + 1].sum())
+
+
+def _met(t: float, keys: list[str], difflib: bool):
+    """Reads rows sorted by cell and yields the pairs of both sides whose common subsequence is long enough."""
+    kinds = [(1, 64)] + [(2, 256)] * (short_of(t, 2) is not None) + [(RUN, 256)] * difflib
+
+    def near(rows: pa.Table):
+        cell, side, n = (rows[c].to_numpy() for c in ("cell", "side", "n"))
+        new = np.ones(len(cell), np.bool_)
+        new[1:] = cell[1:] != cell[:-1]
+        place = (np.cumsum(new) << 32) + n
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        right = right[np.argsort(place[right], kind="stable")]
+        start = place[left] - n[left]
+        low = np.searchsorted(place[right], start + np.ceil(n[left] * (t / (2 - t)) - EPS).astype(np.int64))
+        high = np.searchsorted(place[right], start + np.floor(n[left] * ((2 - t) / t) + EPS).astype(np.int64), "right")
+        left, low, many = left[high > low], low[high > low], (high - low)[high > low]
+        if not len(left):
+            return
+        used = np.unique(np.concatenate([left, right]))
+        text = rows["text"].to_pylist()
+        codes = [np.frombuffer(text[k].encode("utf-32-le", "surrogatepass"), np.uint32) for k in used.tolist()]
+        at = np.zeros(len(cell), np.int64)
+        at[used] = np.arange(len(used))
+        counts = [_pieces(codes, q, bins) for q, bins in kinds]
+        anchors = np.array([_anchors(c) for c in codes]) if difflib else None
+        names = [rows[k].combine_chunks().dictionary_encode().indices.to_numpy() for k in keys]
+        ends = np.cumsum(many)
+        done = 0
+        while done < len(left):
+            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + BLOCK, "right")))
+            each = many[done:upto]
+            i = np.repeat(left[done:upto], each)
+            j = right[np.repeat(low[done:upto], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)]
+            done = upto
+            for code in names:  # of keys that differ and share a hash
+                same = code[i] == code[j]
+                i, j = i[same], j[same]
+            for (q, _), of in zip(kinds, counts):
+                size = n[i] + n[j]
+                shared = np.ceil(size * (t / 2) - EPS).astype(np.int64)
+                runs = size - 2 * shared + 1
+                if difflib:
+                    runs = np.where(n[j] < 200, runs, np.minimum(runs, anchors[at[j]] + 1))
+                most = np.maximum(n[i] - q + 1, 0) + np.maximum(n[j] - q + 1, 0) - 2 * (shared - (q - 1) * runs)
+                a, b = of[at[i]], of[at[j]]
+                able = np.minimum(a - b, b - a).sum(1, dtype=np.int32) <= most
+                i, j = i[able], j[able]
+            x, y = [text[k] for k in i.tolist()], [text[k] for k in j.tolist()]
+            good = 2 * similarity.common(x, y) >= t * (n[i] + n[j]) - EPS
+            good &= np.array([p != q for p, q in zip(x, y)], np.bool_)
+            i, j = pa.array(i[good]), pa.array(j[good])
+            yield pa.RecordBatch.from_arrays([*(rows[k].take(i).combine_chunks() for k in keys), rows["text"].take(i).combine_chunks(), rows["text"].take(j).combine_chunks()], [*keys, "left", "right"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            cell = batch.column("cell").to_numpy()
+            if size >= PART and cell[0] != cell[-1]:
+                whole = pa.Table.from_batches(held)
+                end = whole.num_rows - batch.num_rows + int(np.flatnonzero(cell == cell[-1])[0])
+                yield from near(whole.slice(0, end))
+                held = whole.slice(end).combine_chunks().to_batches()
+                size = whole.num_rows - end
+        if held:
+            yield from near(pa.Table.from_batches(held))
+
+    return run
+
+
+def candidates(left: DataFrame, right: DataFrame, keys: list[str], t: float, difflib: bool = False) -> DataFrame:
+    """``keys, left, right``: pairs of different strings of two tables within equal keys whose common
+    subsequence allows t; with ``difflib`` without some that its ratio, left one first, keeps below t.
 
     Both tables have ``keys, text``; blank and null strings meet nothing.
     """
-    side = lambda d, s: d.where(F.col("text") != "").select(*keys, "text").distinct().withColumn("side", F.lit(s))
-    both = side(left, 0).unionByName(side(right, 1)).withColumns({"n": F.length("text"), "sid": F.xxhash64(*keys, "text", "side")})
-    enough = short_of(t, 2)
-    if enough is None:
-        pairs = met(both, keys, t, 1, 1)
-    else:
-        pairs = met(both, keys, t, 2, enough).unionByName(met(both, keys, t, 1, 1, enough))
-    ends = both.select("sid", "side", *keys, "text")
-    a = pairs.join(ends.select(F.col("sid").alias("low"), *keys, F.col("side").alias("s"), F.col("text").alias("x")), "low")
-    b = a.join(ends.select(F.col("sid").alias("high"), *(F.col(k).alias(f"_{k}") for k in keys), F.col("text").alias("y")), "high")
-    for k in keys:
-        b = b.where(F.col(k) == F.col(f"_{k}"))
-    swap = F.col("s") == 1
-    return b.select(*keys, F.when(swap, F.col("y")).otherwise(F.col("x")).alias("left"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("right")).where("left <> right")
+    n = F.col("n")
+    side = lambda d, s: d.where(F.col("text") != "").dropna(subset=keys).select(*keys, "text").distinct().withColumns({"side": F.lit(s), "n": F.length("text").cast("bigint")})
+    reach = F.sequence(band(F.ceil(n * (t / (2 - t)) - EPS), t), band(F.floor(n * ((2 - t) / t) + EPS), t))
+    both = side(left, 0).withColumn("band", F.explode(reach)).unionByName(side(right, 1).withColumn("band", band(n, t)))
+    mine = lambda s: F.ceil(F.greatest(F.count_if(F.col("side") == s) / PART, F.sum(F.when(F.col("side") == s, n)) / CHARS)).cast("int")
+    parts = both.groupBy(*keys, "band").agg(mine(0).alias("parts_a"), mine(1).alias("parts_b")).where("parts_a > 0 AND parts_b > 0")
+    first = F.col("side") == 0
+    dealt = both.join(parts, [*keys, "band"]).withColumn("own", F.pmod(F.xxhash64("text"), F.when(first, F.col("parts_a")).otherwise(F.col("parts_b"))))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(first, F.col("parts_b")).otherwise(F.col("parts_a")) - 1)))
+    part = [F.when(first, F.col(x).cast("bigint")).otherwise(F.col(y).cast("bigint")) for x, y in (("own", "other"), ("other", "own"))]
+    rows = dealt.select(*keys, "text", "side", "n", F.xxhash64(*keys, "band", *part).alias("cell"))
+    # a number of tasks is given, as adaptive ones are sized by bytes and these by pairs
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = ", ".join(f"`{k}` {dict(left.dtypes)[k]}" for k in keys)
+    return rows.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(_met(t, keys, difflib), f"{kinds}, left string, right string")
 
 
 def pairs(left: DataFrame, right: DataFrame, keys: list[str], t: float) -> DataFrame:
@@ -108,5 +165,5 @@ def pairs(left: DataFrame, right: DataFrame, keys: list[str], t: float) -> DataF
     strings have 1."""
     equal = left.where(F.col("text") != "").select(*keys, "text").distinct().join(right.select(*keys, "text").distinct(), [*keys, "text"])
     same = equal.select(*keys, F.col("text").alias("left"), F.col("text").alias("right"), F.lit(1.0).alias("score"))
-    scored = candidates(left, right, keys, t).withColumn("score", similarity.ratio_from(t)("left", "right"))
+    scored = candidates(left, right, keys, t, True).withColumn("score", similarity.ratio_from(t)("left", "right"))
     return same.unionByName(scored.where("score IS NOT NULL"))
