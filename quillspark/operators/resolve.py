@@ -7,16 +7,15 @@ osi_layers, environment, availability_url, availability_notes, doi``.
 from __future__ import annotations
 
 import tempfile
-from difflib import SequenceMatcher
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions import similarity, text as T
+from quillspark.functions import text as T
 from quillspark.functions.similarity import ratio
+from quillspark.operators import alike
 from quillspark.operators.match import pick
+from quillspark.sources import shared
 
 MERGE_FROM = 0.85
 
@@ -94,56 +93,44 @@ def without_known(similar: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def first_similar(records: DataFrame, known: DataFrame, name_threshold: float = 0.75, combined_threshold: float = 0.70) -> DataFrame:
-    """``without_known(similar_pairs(records), known)`` where few names stand in many records.
+    """``without_known(similar_pairs(records), known)`` where many records have equal names or signatures.
 
-    Two names are compared where lengths of theirs, or of their records' signatures, allow a ratio of
-    the threshold.  Their records are read in order up to the first pair that passes.  Signatures whose
-    longest common subsequence is too short are passed over, and equal strings are compared once.
+    Each two different texts are compared once in each order (``alike``).  Of the records of a name and text
+    the first one, or the first with other papers, begins the first pair with those of another; whether a
+    record with other papers follows is told by the last one and the last with other papers.  Only for the
+    first beginning of two names are the records that may follow looked through.
     """
-    base = records.select("ord", "name", _keys("keys").alias("keys"), T.record_name("name").alias("short"), T.signature(F.col("name"), F.col("modalities"), F.col("osi_layers")).alias("whole"))
-
-    def ends_within(column: str, t: float) -> DataFrame:
-        one = base.select("name", F.length(column).alias("n")).distinct()
-        least, most = F.ceil(F.col("n") * t / (2 - t) - 1e-9).cast("int"), F.floor(F.col("n") * (2 - t) / t + 1e-9).cast("int")
-        wide = one.select(F.col("name").alias("low"), F.explode(F.sequence(least, most)).alias("n")).distinct()
-        return wide.join(one.select(F.col("name").alias("high"), "n"), "n").where("low <= high").select("low", "high")
-
-    ends = ends_within("short", name_threshold).unionByName(ends_within("whole", combined_threshold)).distinct()
-    seen = known.select(F.least("name_a", "name_b").alias("low"), F.greatest("name_a", "name_b").alias("high"))
-    ends = ends.join(seen, ["low", "high"], "left_anti").withColumn("name", F.explode(F.array_distinct(F.array("low", "high"))))
-
-    def first(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord", kind="stable")
-        ords, name, short, whole = (rows[c].tolist() for c in ("ord", "name", "short", "whole"))
-        code = {}
-        group, paper = np.array([code.setdefault(n, len(code)) for n in name]), np.array([code.setdefault(tuple(k), len(code)) for k in rows["keys"]])
-        size, ratios, out = np.array([len(text) for text in whole]), {}, []
-
-        def ratio_of(x: str, y: str) -> float:
-            if (x, y) not in ratios:
-                ratios[x, y] = SequenceMatcher(None, x, y).ratio()
-            return ratios[x, y]
-
-        low, many = 0, 1
-        while low < len(rows) and not out:  # ever more records at once, as most pairs of names are done with the first ones
-            high = min(low + many, len(rows))
-            i, j = np.nonzero(np.arange(len(rows)) > np.arange(low, high)[:, None])
-            i += low
-            met = (paper[i] != paper[j]) & ((group[i] != group[j]) | (key[0] == key[1]))
-            i, j = i[met], j[met]
-            shared = similarity.common([whole[k] for k in i], [whole[k] for k in j])
-            able = 2 * shared >= combined_threshold * (size[i] + size[j]) - 1e-9
-            for k, m, may in zip(i.tolist(), j.tolist(), able.tolist()):
-                near = ratio_of(short[k], short[m])
-                if near >= name_threshold or may and ratio_of(whole[k], whole[m]) >= combined_threshold:
-                    out.append((ords[k], ords[m], name[k], name[m], near, ratio_of(whole[k], whole[m])))
-                    break
-            low, many = high, min(2 * many, 64)
-        return pd.DataFrame(out, columns=["ord_a", "ord_b", "name_a", "name_b", "name_ratio", "combined_ratio"])
-
-    kind = dict(base.dtypes)["ord"]
-    found = ends.join(base, "name").groupBy("low", "high").applyInPandas(first, f"ord_a {kind}, ord_b {kind}, name_a string, name_b string, name_ratio double, combined_ratio double")
-    return _flagged(found)
+    base = records.where("name IS NOT NULL").select("ord", "name", _keys("keys").alias("keys"), T.record_name("name").alias("short"), T.signature(F.col("name"), F.col("modalities"), F.col("osi_layers")).alias("whole"))
+    whole = F.struct("ord", "keys", "short", "whole").alias("r")
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("text")) for k in ("short", "whole")))
+    each = shared.save(base.select("name", whole, F.explode(kinds).alias("at")).select("at.kind", "name", "at.text", "r"), "records")
+    group = ["kind", "name", "text"]
+    one = each.groupBy(*group).agg(F.min("r").alias("first"), F.max("r").alias("last"))
+    other = lambda c: F.when(F.col("r.keys") != F.col(f"{c}.keys"), F.col("r"))
+    groups = each.join(one, group).groupBy(*group, "first", "last").agg(F.min(other("first")).alias("second"), F.max(other("last")).alias("late"))
+    groups = shared.save(groups, "groups")
+    texts = groups.select("kind", "text").distinct()
+
+    def near(kind: str, t: float) -> DataFrame:
+        mine = texts.where(F.col("kind") == kind)
+        blank = mine.where("text = ''").select("kind", F.col("text").alias("left"), F.col("text").alias("right"))  # equal, too
+        return alike.pairs(mine, mine, ["kind"], t).select("kind", "left", "right").unionByName(blank)
+
+    close = shared.save(near("short", name_threshold).unionByName(near("whole", combined_threshold)), "close")
+    begins = groups.select("kind", F.col("text").alias("left"), F.col("name").alias("name_a"), F.explode(F.array_compact(F.array("first", "second"))).alias("a"))
+    ends = groups.select("kind", F.col("text").alias("right"), F.col("name").alias("name_b"), "last", "late")
+    follows = lambda c: (F.col(f"{c}.ord") > F.col("a.ord")) & (F.col(f"{c}.keys") != F.col("a.keys"))
+    met = begins.join(close, ["kind", "left"]).join(ends, ["kind", "right"]).where(follows("last") | F.coalesce(follows("late"), F.lit(False)))
+    met = met.select("kind", "right", "name_a", "name_b", "a", F.least("name_a", "name_b").alias("low"), F.greatest("name_a", "name_b").alias("high"))
+    seen = known.select(F.least("name_a", "name_b").alias("low"), F.greatest("name_a", "name_b").alias("high")).distinct()
+    # all that begins with the least record, in one row for each two names
+    least = met.groupBy("low", "high", "a", "name_a", "name_b").agg(F.collect_set(F.struct("kind", "right")).alias("texts"))
+    least = least.groupBy("low", "high").agg(F.min(F.struct("a", "name_a", "name_b", "texts")).alias("m")).join(seen, ["low", "high"], "left_anti")
+    asked = least.select("low", "high", "m.a", "m.name_a", "m.name_b", F.explode("m.texts").alias("t")).select("low", "high", "a", "name_a", "name_b", "t.kind", F.col("t.right").alias("text"))
+    found = asked.join(each.withColumnRenamed("name", "name_b"), ["kind", "name_b", "text"]).where(follows("r"))
+    firsts = found.groupBy("low", "high").agg(F.min(F.struct("a", "r", "name_a", "name_b")).alias("m")).select("m.*")
+    named = firsts.select(F.col("a.ord").alias("ord_a"), F.col("r.ord").alias("ord_b"), "name_a", "name_b", ratio("a.short", "r.short").alias("name_ratio"), ratio("a.whole", "r.whole").alias("combined_ratio"))
+    return _flagged(named)
 
 
 def confirmed(pairs: DataFrame, reply: Column) -> DataFrame:
