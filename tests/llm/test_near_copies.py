@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from quillspark.llm import near_copies as N
 
@@ -72,3 +74,22 @@ def test_odd_rows(odd, odd_rows):
 
 def test_empty_table(empty):
     assert N.dedup(empty).collect() == []
+
+
+def test_fingerprints_meet_on_the_grid(spark):
+    rows = corpus()
+    firsts = N.firsts(spark.createDataFrame(rows, "doc_id bigint, text string"), np.zeros(0, np.int64)).select("doc_id", "fp").collect()
+    prints = {r["doc_id"]: r["fp"] for r in firsts}
+    found = N.by_bits(spark.createDataFrame([(fp, d) for d, fp in prints.items()], "fp bigint, node bigint"))
+    up = {d: d for d in prints}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for u, v in found.collect():
+        assert ((prints[u] ^ prints[v]) & (1 << 64) - 1).bit_count() <= 3
+        up[top(v)] = top(u)
+    close = [(a, b) for a in prints for b in prints if a < b and ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= 3]
+    assert close and all(top(a) == top(b) for a, b in close)
