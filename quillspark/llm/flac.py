@@ -64,7 +64,7 @@ def crc16(data: np.ndarray) -> int:
         rows = [first]
         for _ in range(_LONGEST - 1):
             rows.append((rows[-1] << 8 & 0xFFFF) ^ first[rows[-1] >> 8])
-        _far.append(np.array(rows, np.uint16))
+        _far.extend([np.array(rows, np.uint16).reshape(-1), np.arange(_LONGEST - 1, -1, -1) << 8])
     value = 0
     for a in range(0, len(data), _LONGEST):
         part = data[a : a + _LONGEST].copy()
@@ -74,7 +74,7 @@ def crc16(data: np.ndarray) -> int:
             part[1] ^= value & 255
         else:
             rest = (value & 255) << 8
-        value = int(np.bitwise_xor.reduce(_far[0][np.arange(len(part) - 1, -1, -1), part])) ^ rest
+        value = int(np.bitwise_xor.reduce(_far[0].take(_far[1][_LONGEST - len(part) :] + part))) ^ rest
     return value
 
 
@@ -236,26 +236,42 @@ class _Reader:
         return np.where(value >> (width - 1), value - (1 << width), value)
 
     def rice(self, count: int, k: int) -> np.ndarray:
-        find, at, stops = self.text.find, self.at, []
-        for _ in range(count):
-            stop = find(1, at)
-            if stop < 0:
+        if not count:
+            return np.zeros(0, np.int64)
+        span, stop = count * (k + 3) + 64, None
+        while stop is None:
+            stop = _stops(self.bits[self.at : self.at + span], count, k)
+            if stop is None and self.at + span >= len(self.bits):
                 raise FlacError("a frame ends early")
-            stops.append(stop)
-            at = stop + 1 + k
-        if at > len(self.text):
-            raise FlacError("a frame ends early")
-        stop = np.array(stops, np.int64)
+            span *= 2
+        stop += self.at
         start = np.empty_like(stop)
-        if count:
-            start[0], start[1:] = self.at, stop[:-1] + (1 + k)
-        self.at = at
+        start[0], start[1:] = self.at, stop[:-1] + (1 + k)
+        self.at = int(stop[-1]) + 1 + k
+        if self.at > len(self.text):
+            raise FlacError("a frame ends early")
         u = stop - start
         for b in range(k):
             u = u << 1 | self.bits[stop + (1 + b)]
         return u >> 1 ^ -(u & 1)
 
 
+def _stops(bits: np.ndarray, count: int, k: int) -> np.ndarray | None:
+    """Where the unary parts of ``count`` codes end, None if the bits do not hold so many.  The next end is
+    the first set bit after the k bits that follow one; twice as many are found with each doubled jump."""
+    ones = np.flatnonzero(bits)
+    before = np.zeros(len(bits) + 1, np.int64)
+    np.cumsum(bits, out=before[1:])
+    jump = np.append(before[np.minimum(ones + (1 + k), len(bits))], len(ones))
+    at = np.zeros(1, np.int64)
+    while len(at) < count:
+        at = np.concatenate([at, jump[at]])
+        if len(at) < count:
+            jump = jump[jump]
+    at = at[:count]
+    return ones[at] if at[-1] < len(ones) else None
+
+
 _DIGITS = bytes(48 + (x & 1) for x in range(256))
 
 
