@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import similarity
+from quillspark.sources import shared
 
 EPS = 1e-9
 PART, CHARS, BLOCK = 8192, 1 << 23, 1 << 15
@@ -82,7 +83,10 @@ def _met(t: float, keys: list[str], difflib: bool):
         left, low, many = left[high > low], low[high > low], (high - low)[high > low]
         if not len(left):
             return
-        used = np.unique(np.concatenate([left, right]))
+        met = np.zeros(len(right) + 1, np.int64)  # how many left strings meet each right one
+        np.add.at(met, low, 1)
+        np.add.at(met, low + many, -1)
+        used = np.unique(np.concatenate([left, right[np.cumsum(met[:-1]) > 0]]))
         text = rows["text"].to_pylist()
         codes = [np.frombuffer(text[k].encode("utf-32-le", "surrogatepass"), np.uint32) for k in used.tolist()]
         at = np.zeros(len(cell), np.int64)
@@ -147,10 +151,11 @@ def candidates(left: DataFrame, right: DataFrame, keys: list[str], t: float, dif
     side = lambda d, s: d.where(F.col("text") != "").dropna(subset=keys).select(*keys, "text").distinct().withColumns({"side": F.lit(s), "n": F.length("text").cast("bigint")})
     reach = F.sequence(band(F.ceil(n * (t / (2 - t)) - EPS), t), band(F.floor(n * ((2 - t) / t) + EPS), t))
     both = side(left, 0).withColumn("band", F.explode(reach)).unionByName(side(right, 1).withColumn("band", band(n, t)))
-    mine = lambda s: F.ceil(F.greatest(F.count_if(F.col("side") == s) / PART, F.sum(F.when(F.col("side") == s, n)) / CHARS)).cast("int")
-    parts = both.groupBy(*keys, "band").agg(mine(0).alias("parts_a"), mine(1).alias("parts_b")).where("parts_a > 0 AND parts_b > 0")
+    mine = lambda s: F.ceil(F.greatest(F.lit(1), F.count_if(F.col("side") == s) / PART, F.sum(F.when(F.col("side") == s, n)) / CHARS)).cast("int")
+    # of large cells only, a row for PART strings or CHARS characters at most, so this may be broadcast
+    parts = both.groupBy(*keys, "band").agg(mine(0).alias("parts_a"), mine(1).alias("parts_b")).where("parts_a > 1 OR parts_b > 1")
     first = F.col("side") == 0
-    dealt = both.join(parts, [*keys, "band"]).withColumn("own", F.pmod(F.xxhash64("text"), F.when(first, F.col("parts_a")).otherwise(F.col("parts_b"))))
+    dealt = both.join(shared.save(parts, "parts"), [*keys, "band"], "left").na.fill(1, ["parts_a", "parts_b"]).withColumn("own", F.pmod(F.xxhash64("text"), F.when(first, F.col("parts_a")).otherwise(F.col("parts_b"))))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(first, F.col("parts_b")).otherwise(F.col("parts_a")) - 1)))
     part = [F.when(first, F.col(x).cast("bigint")).otherwise(F.col(y).cast("bigint")) for x, y in (("own", "other"), ("other", "own"))]
     rows = dealt.select(*keys, "text", "side", "n", F.xxhash64(*keys, "band", *part).alias("cell"))
@@ -163,7 +168,7 @@ def candidates(left: DataFrame, right: DataFrame, keys: list[str], t: float, dif
 def pairs(left: DataFrame, right: DataFrame, keys: list[str], t: float) -> DataFrame:
     """``keys, left, right, score``: pairs of strings within equal keys whose ratio is t or more; equal
     strings have 1."""
-    equal = left.where(F.col("text") != "").select(*keys, "text").distinct().join(right.select(*keys, "text").distinct(), [*keys, "text"])
+    equal = left.where(F.col("text") != "").select(*keys, "text").distinct().join(right.select(*keys, "text").distinct().hint("merge"), [*keys, "text"])
     same = equal.select(*keys, F.col("text").alias("left"), F.col("text").alias("right"), F.lit(1.0).alias("score"))
     scored = candidates(left, right, keys, t, True).withColumn("score", similarity.ratio_from(t)("left", "right"))
     return same.unionByName(scored.where("score IS NOT NULL"))

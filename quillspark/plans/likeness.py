@@ -30,7 +30,7 @@ def close_names(t):
     """Names of two catalogues in one city that share so many characters in order that they may be one name."""
     left, right = (d.select("nation_id", "city", F.col("title").alias("text")) for d in _catalogues(t))
     keys = ["nation_id", "city"]
-    equal = left.where("text <> ''").distinct().join(right.distinct(), [*keys, "text"]).select(*keys, F.col("text").alias("left"), F.col("text").alias("right"))
+    equal = left.where("text <> ''").distinct().join(right.distinct().hint("merge"), [*keys, "text"]).select(*keys, F.col("text").alias("left"), F.col("text").alias("right"))
     met = alike.candidates(left, right, keys, 0.8).unionByName(equal).withColumn("shared", _common("left", "right"))
     near = met.where(2 * F.col("shared") >= 0.8 * (F.length("left") + F.length("right")) - 1e-9)
     return near.select(*keys, F.col("left").alias("left_name"), F.col("right").alias("right_name"), "shared")
