@@ -34,11 +34,16 @@ BATCH = 64
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, with_ids: bool = False) -> DataFrame:
-    """A row for each piece of each document; ``ids`` (unsigned little-endian) if asked for."""
+def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, with_ids: bool = False, task_words: int | None = None) -> DataFrame:
+    """A row for each piece of each document; ``ids`` (unsigned little-endian) if asked for.
+
+    Workers keep the tokenizer and the words that they have seen.  With ``task_words`` a task has its
+    own, with a cache of about so many words, and gives its memory back when it ends.
+    """
 
     def run(batches):
-        encoder, last = word_tokens.tokenizer(path), np.array([end], "<u4").tobytes()
+        encoder = word_tokens.tokenizer(path) if task_words is None else word_tokens.WordTokenizer(path, task_words)
+        last = np.array([end], "<u4").tobytes()
         for batch in batches:
             texts, ids = batch.column("text").cast(pa.binary()), batch.column("doc_id")
             for k in range(0, len(batch), BATCH):
@@ -210,6 +215,6 @@ def place(rows: DataFrame, size: int = SIZE, bucket: int = BUCKET) -> DataFrame:
     return ranked.select(*names, "rank").mapInArrow(run, f"{kinds}, sequence_id bigint, offset bigint")
 
 
-def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, with_ids: bool = False, task_words: int | None = None) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset`` for each piece."""
-    return place(scratch.save(pieces(docs, path, size, end, with_ids), "pieces"), size)
+    return place(scratch.save(pieces(docs, path, size, end, with_ids, task_words), "pieces"), size)
